@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,3 +56,15 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to Python workers that would not find it by their own path."""
+    context = spark.sparkContext
+    if getattr(context, "_weftline_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="weftline-package-")
+    archive = shutil.make_archive(os.path.join(folder, "weftline-package"), "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
+    context._weftline_shipped = True
