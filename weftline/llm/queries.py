@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import charfold, leak, spans
+from weftline.llm import charfold, leak, spans, truncation
 from weftline.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluations whose text ends inside a word or sentence because its rest is missing."""
+    return _truncation(spark, d).flagged().select(F.col("key").alias("eval_id"))
+
+
+def p1_truncation_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of truncated evaluations per model and per source, and how many lie at a limit of length."""
+    return _truncation(spark, d).rates()
+
+
+def p1_length_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths at which far more texts are cut than at neighbouring lengths."""
+    return _truncation(spark, d).limits()
+
+
+def _truncation(spark: SparkSession, d: str) -> truncation.Truncation:
+    return truncation.Truncation(table(spark, d, "evaluations").select("eval_id", "hyp_text", "model", "source"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records whose texts look the same but differ in characters."""
     src = charfold.look_pairs(table(spark, d, "segments").select("id", "src_text"), "id", "src_text")
@@ -52,7 +71,7 @@ def p10_shared_part(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_consistent_text, p9_found, p9_leak_report, p9_clean_documents, p10_found, p10_shared_part)}
+    return {f.__name__: f for f in (p1_found, p1_truncation_rates, p1_length_limits, p2_found, p2_consistent_text, p9_found, p9_leak_report, p9_clean_documents, p10_found, p10_shared_part)}
 
 
 def oracle_sql() -> dict[str, str]:
