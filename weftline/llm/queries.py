@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import charfold, leak, spans, truncation
+from weftline.llm import charfold, leak, packing, quantiles, sampling, spans, tokens, truncation
 from weftline.session import table
 
 
@@ -43,6 +43,63 @@ def p2_consistent_text(spark: SparkSession, d: str) -> DataFrame:
     return both.select("field", "key", "form", (F.col("form") != F.col("text")).alias("changed")).distinct()
 
 
+def p4_token_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the distinct segments' source texts by source, language and domain."""
+    return tokens.budget(tokens.segment_tokens(table(spark, d, "segments")))
+
+
+def p4_segment_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the source text of each distinct segment."""
+    return tokens.segment_tokens(table(spark, d, "segments"))
+
+
+def p5_stable_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A tenth of the distinct segment ids, by a salted hash of the id."""
+    return sampling.stable_sample(table(spark, d, "segments").select("id"))
+
+
+def p5_sample_by_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Per weekly delivery: distinct ids first delivered in it and how many of them are in the sample."""
+    first = table(spark, d, "segments").filter("id IS NOT NULL").groupBy("id").agg(F.min("batch_no").alias("batch_no"))
+    chosen = (sampling.unit_hash("id") < F.lit(sampling.RATE)).cast("long")
+    return first.groupBy("batch_no").agg(F.count("*").alias("ids"), F.sum(chosen).alias("sampled"))
+
+
+_SHARES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]
+
+
+def _daily_sketches(spark: SparkSession, d: str) -> DataFrame:
+    rows = quantiles.metric_rows(table(spark, d, "evaluations").select("eval_id", "domain", "scored_at", "metrics"))
+    return quantiles.build_sketches(rows, ["domain", "metric", "day"], "value")
+
+
+def p7_metric_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each metric per domain, merged from sketches of single days and tasks."""
+    groups = ["domain", "metric"]
+    return quantiles.read_quantiles(quantiles.merge_sketches(_daily_sketches(spark, d), groups), groups, _SHARES)
+
+
+def p7_daily_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each metric per domain and day of scoring."""
+    groups = ["domain", "metric", "day"]
+    return quantiles.read_quantiles(quantiles.merge_sketches(_daily_sketches(spark, d), groups), groups, _SHARES)
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    counted = tokens.with_counts(table(spark, d, "documents").select("doc_id", "text"), "text")
+    return packing.pack(packing.split_items(counted, "doc_id", "n_tokens", packing.CAPACITY))
+
+
+def p8_packed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The container of each document, or of each chunk of one that alone exceeds the capacity."""
+    return _packed(spark, d).withColumnRenamed("key", "doc_id")
+
+
+def p8_fill_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, lower bound and used share of the packing of all documents."""
+    return packing.fill_report(_packed(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold at least ten consecutive words of a test item."""
     return leak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
@@ -71,8 +128,44 @@ def p10_shared_part(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_truncation_rates, p1_length_limits, p2_found, p2_consistent_text, p9_found, p9_leak_report, p9_clean_documents, p10_found, p10_shared_part)}
+    """All queries by name; the first of each number is the one to check first."""
+    return {
+        f.__name__: f
+        for f in (
+            p1_found,
+            p1_truncation_rates,
+            p1_length_limits,
+            p2_found,
+            p2_consistent_text,
+            p4_token_budget,
+            p4_segment_tokens,
+            p5_stable_sample,
+            p5_sample_by_batch,
+            p7_metric_percentiles,
+            p7_daily_percentiles,
+            p8_packed_documents,
+            p8_fill_report,
+            p9_found,
+            p9_leak_report,
+            p9_clean_documents,
+            p10_found,
+            p10_shared_part,
+        )
+    }
+
+
+_SAMPLE = f"""
+SELECT DISTINCT id, place FROM (
+  SELECT id, (('0x' || substr(md5('{sampling.SALT}|' || id), 1, 13))::BIGINT)::DOUBLE / {float(1 << 52)} AS place FROM segments WHERE id IS NOT NULL)
+WHERE place < {sampling.RATE}"""
+
+_SAMPLE_BY_BATCH = f"""
+SELECT batch_no, count(*)::BIGINT AS ids, sum(CASE WHEN place < {sampling.RATE} THEN 1 ELSE 0 END)::BIGINT AS sampled FROM (
+  SELECT min(batch_no) AS batch_no, (('0x' || substr(md5('{sampling.SALT}|' || id), 1, 13))::BIGINT)::DOUBLE / {float(1 << 52)} AS place
+  FROM segments WHERE id IS NOT NULL GROUP BY id)
+GROUP BY batch_no"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL twins, where SQL can express the operator over whole tables."""
+    return {"p5_stable_sample": _SAMPLE, "p5_sample_by_batch": _SAMPLE_BY_BATCH}
