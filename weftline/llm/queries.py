@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import charfold, leak, packing, quantiles, sampling, spans, tokens, truncation
+from weftline.llm import alignment, charfold, leak, packing, quantiles, sampling, spans, tokens, truncation
 from weftline.session import table
 
 
@@ -65,6 +65,11 @@ def p5_sample_by_batch(spark: SparkSession, d: str) -> DataFrame:
     return first.groupBy("batch_no").agg(F.count("*").alias("ids"), F.sum(chosen).alias("sampled"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of lines of source and reference that wholly or partly translate one another."""
+    return alignment.align_documents(table(spark, d, "segments").select("id", "src_lang", "src_text", "ref_text"))
+
+
 _SHARES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]
 
 
@@ -141,6 +146,7 @@ def queries() -> dict:
             p4_segment_tokens,
             p5_stable_sample,
             p5_sample_by_batch,
+            p6_found,
             p7_metric_percentiles,
             p7_daily_percentiles,
             p8_packed_documents,
