@@ -178,42 +178,75 @@ def build_sketches(df: DataFrame, groups: list[str], value: str, k: int = K, hig
     return rows.mapInArrow(run, schema)
 
 
-def merge_sketches(sketches: DataFrame, groups: list[str], fan_in: int = 64) -> DataFrame:
-    """One sketch per group, merged in two rounds so that no task takes all sketches of a large group at once."""
+def _merged(rows: DataFrame, keys: list[str], groups: list[str]) -> DataFrame:
+    """Sketches of equal keys merged one after the other as they stream by in sorted partitions."""
     schema = ", ".join([*(f"`{g}` string" for g in groups), "n long", "sketch binary"])
 
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        out = None
-        for raw in sorted(frame["sketch"]):  # in an order of their own, so that a merge repeats
-            part = RelativeSketch.from_bytes(raw)
-            if out is None:
-                out = part
-            else:
-                out.merge(part)
-        row = frame.iloc[:1][groups].reset_index(drop=True)
-        return row.assign(n=out.n, sketch=[out.to_bytes()])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sketch, done = None, None, []
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([d[0][i] for d in done], pa.string()) for i in range(len(groups))]
+            columns += [pa.array([d[1].n for d in done], pa.int64()), pa.array([d[1].to_bytes() for d in done], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, [*groups, "n", "sketch"])
 
-    salted = sketches.select(*groups, "n", "sketch", F.pmod(F.xxhash64("sketch"), F.lit(fan_in)).alias("_salt"))
-    first = salted.groupBy(*groups, "_salt").applyInPandas(join, schema)
-    return first.groupBy(*groups).applyInPandas(join, schema)
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(len(keys) + 1)]
+            for *key, raw in zip(*columns, strict=True):
+                part = RelativeSketch.from_bytes(raw)
+                if key == held:
+                    sketch.merge(part)
+                    continue
+                if sketch is not None:
+                    done.append((held, sketch))
+                held, sketch = key, part
+            if len(done) > 2000:
+                yield out()
+                done = []
+        if sketch is not None:
+            done.append((held, sketch))
+        yield out()
+
+    ordered = rows.select(*keys, "sketch", "n").repartition(*keys).sortWithinPartitions(*keys, "n", "sketch")
+    return ordered.mapInArrow(run, schema)
+
+
+def merge_sketches(sketches: DataFrame, groups: list[str], fan_in: int = 16) -> DataFrame:
+    """One sketch per group, merged in two rounds so that no task takes all sketches of a large group.
+
+    A task holds one sketch at a time; sketches of a group come in an order of their own, so that a merge repeats.
+    """
+    salted = sketches.withColumn("_salt", F.pmod(F.xxhash64("sketch"), F.lit(fan_in)).cast("string"))
+    return _merged(_merged(salted, [*groups, "_salt"], groups), groups, groups)
 
 
 def read_quantiles(sketches: DataFrame, groups: list[str], shares: list[float]) -> DataFrame:
     """Group columns, n, least, most and one column per share (p50, p99_9, ...)."""
     names = ["p" + f"{100 * q:g}".replace(".", "_") for q in shares]
-    schema = ", ".join([*(f"`{g}` string" for g in groups), "n long", "least double", "most double", *(f"{n} double" for n in names)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            parts = [RelativeSketch.from_bytes(raw) for raw in frame["sketch"]]
-            out = frame[[*groups, "n"]].copy()
-            out["least"], out["most"] = [p.least for p in parts], [p.most for p in parts]
-            values = [p.quantiles(shares) for p in parts]
-            for i, name in enumerate(names):
-                out[name] = [v[i] for v in values]
-            yield out
-
-    return sketches.mapInPandas(run, schema)
+    schema = ", ".join([*(f"`{g}` string" for g in groups), "n long", "least double", "most double", *(f"`{n}` double" for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [RelativeSketch.from_bytes(raw) for raw in batch.column(len(groups)).to_pylist()]
+            values = [[p.least, p.most, *p.quantiles(shares)] for p in parts]
+            columns = [batch.column(i) for i in range(len(groups))] + [pa.array([p.n for p in parts], pa.int64())]
+            columns += [pa.array([v[i] for v in values], pa.float64()) for i in range(len(shares) + 2)]
+            yield pa.RecordBatch.from_arrays(columns, [*groups, "n", "least", "most", *names])
+
+    return sketches.select(*groups, "sketch").mapInArrow(run, schema)
+
+
+def percentiles(rows: DataFrame, groups: list[str], value: str, shares: list[float], k: int = K) -> DataFrame:
+    """Percentiles per group, those below one half from sketches that protect the low tail, the others the high one."""
+    parts = []
+    for high in (True, False):
+        wanted = [q for q in shares if (q >= 0.5) == high]
+        sketches = merge_sketches(build_sketches(rows, groups, value, k, high), groups)
+        parts.append(read_quantiles(sketches, groups, wanted))
+    low = parts[1].drop("n", "least", "most")
+    joined = parts[0].alias("h").join(low.alias("l"), [F.col(f"h.{g}").eqNullSafe(F.col(f"l.{g}")) for g in groups])
+    names = ["p" + f"{100 * q:g}".replace(".", "_") for q in shares]
+    return joined.select(*(F.col(f"h.{g}") for g in groups), "n", "least", "most", *(F.col(f"`{n}`") for n in names))
 
 
 def metric_rows(evaluations: DataFrame) -> DataFrame:

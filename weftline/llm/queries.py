@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import alignment, charfold, leak, packing, quantiles, sampling, spans, tokens, truncation
-from weftline.session import table
+from weftline.session import checkpoint, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,21 +73,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 _SHARES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]
 
 
-def _daily_sketches(spark: SparkSession, d: str) -> DataFrame:
-    rows = quantiles.metric_rows(table(spark, d, "evaluations").select("eval_id", "domain", "scored_at", "metrics"))
-    return quantiles.build_sketches(rows, ["domain", "metric", "day"], "value")
+def _metric_rows(spark: SparkSession, d: str) -> DataFrame:
+    return checkpoint(quantiles.metric_rows(table(spark, d, "evaluations").select("eval_id", "domain", "scored_at", "metrics")))
 
 
 def p7_metric_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of each metric per domain, merged from sketches of single days and tasks."""
-    groups = ["domain", "metric"]
-    return quantiles.read_quantiles(quantiles.merge_sketches(_daily_sketches(spark, d), groups), groups, _SHARES)
+    """Percentiles of each metric per domain, merged from the sketches of all tasks."""
+    return quantiles.percentiles(_metric_rows(spark, d), ["domain", "metric"], "value", _SHARES)
 
 
-def p7_daily_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of each metric per domain and day of scoring."""
-    groups = ["domain", "metric", "day"]
-    return quantiles.read_quantiles(quantiles.merge_sketches(_daily_sketches(spark, d), groups), groups, _SHARES)
+def p7_merged_days(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles from one half up of each metric per domain, merged from the sketches of single days."""
+    days = quantiles.build_sketches(_metric_rows(spark, d).repartition("day", "metric"), ["domain", "metric", "day"], "value")
+    daily = quantiles.merge_sketches(days, ["domain", "metric", "day"])
+    return quantiles.read_quantiles(quantiles.merge_sketches(daily, ["domain", "metric"]), ["domain", "metric"], [q for q in _SHARES if q >= 0.5])
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +147,7 @@ def queries() -> dict:
             p5_sample_by_batch,
             p6_found,
             p7_metric_percentiles,
-            p7_daily_percentiles,
+            p7_merged_days,
             p8_packed_documents,
             p8_fill_report,
             p9_found,
