@@ -82,6 +82,13 @@ def p7_metric_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(_metric_rows(spark, d), ["domain", "metric"], "value", _SHARES)
 
 
+def p7_daily_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each metric per domain and day of scoring, from sketches that later days can be merged with."""
+    rows = _metric_rows(spark, d)
+    days = rows.repartition("day", "metric", F.pmod(F.xxhash64("domain", "value"), F.lit(4)))  # salted, as a day may be hot
+    return quantiles.percentiles(days, ["domain", "metric", "day"], "value", _SHARES)
+
+
 def p7_merged_days(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles from one half up of each metric per domain, merged from the sketches of single days."""
     days = quantiles.build_sketches(_metric_rows(spark, d).repartition("day", "metric"), ["domain", "metric", "day"], "value")
@@ -146,6 +153,7 @@ def queries() -> dict:
             p5_stable_sample,
             p5_sample_by_batch,
             p6_found,
+            p7_daily_percentiles,
             p7_metric_percentiles,
             p7_merged_days,
             p8_packed_documents,
