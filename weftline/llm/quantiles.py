@@ -15,9 +15,8 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Section size: the relative rank error is about 1.6 / K at two standard deviations.
@@ -155,27 +154,56 @@ class RelativeSketch:
         return out
 
 
-def build_sketches(df: DataFrame, groups: list[str], value: str, k: int = K, high: bool = True) -> DataFrame:
-    """One sketch per group and task: the group columns (as strings), n and sketch. Null values are left out.
+HIGH, LOW = "high", "low"
 
-    Values meet their sketch in the task that reads them, so a group that holds a third of all rows is spread as
-    the rows are. A task holds as many sketches as it meets groups.
+
+def build_sketches(df: DataFrame, groups: list[str], value: str, k: int = K, tails: tuple[str, ...] = (HIGH,)) -> DataFrame:
+    """One sketch per group, protected tail and task: the group columns (as strings), tail, n and sketch.
+
+    Null values are left out. Values meet their sketch in the task that reads them, so a group that holds a third of
+    all rows is spread as the rows are. Rows of a task are sorted by group, so that it takes a group's values at once
+    and holds one group at a time.
     """
     rows = df.select(*(F.col(g).cast("string").alias(g) for g in groups), F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    schema = ", ".join([*(f"`{g}` string" for g in groups), "n long", "sketch binary"])
+    schema = ", ".join([*(f"`{g}` string" for g in groups), "tail string", "n long", "sketch binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, RelativeSketch] = {}
+        held, sketches, done = None, [], []
+
+        def close() -> None:
+            done.extend((held, tail, s.n, s.to_bytes()) for tail, s in zip(tails, sketches, strict=True))
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([d[0][i] for d in done], pa.string()) for i in range(len(groups))]
+            columns += [pa.array([d[i] for d in done], kind) for i, kind in ((1, pa.string()), (2, pa.int64()), (3, pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, [*groups, "tail", "n", "sketch"])
+
         for batch in batches:
-            frame = batch.to_pandas()
-            for key, part in frame.groupby(groups, dropna=False, sort=True)["_v"]:
-                key = tuple(None if pd.isna(x) else x for x in (key if isinstance(key, tuple) else (key,)))
-                held.setdefault(key, RelativeSketch(k, high)).update(part.to_numpy())
-        columns = [pa.array([key[i] for key in held], pa.string()) for i in range(len(groups))]
-        columns += [pa.array([s.n for s in held.values()], pa.int64()), pa.array([s.to_bytes() for s in held.values()], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, [*groups, "n", "sketch"])
+            if not batch.num_rows:
+                continue
+            values = batch.column(len(groups)).to_numpy(zero_copy_only=False)
+            change = np.zeros(batch.num_rows, bool)
+            change[0] = True
+            for i in range(len(groups)):
+                codes = batch.column(i).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                change[1:] |= codes[1:] != codes[:-1]
+            starts = np.flatnonzero(change)
+            for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                key = tuple(batch.column(i)[int(start)].as_py() for i in range(len(groups)))
+                if key != held:
+                    if sketches:
+                        close()
+                    held, sketches = key, [RelativeSketch(k, tail == HIGH) for tail in tails]
+                for s in sketches:
+                    s.update(values[start:end])
+            if len(done) > 4000:
+                yield out()
+                done = []
+        if sketches:
+            close()
+        yield out()
 
-    return rows.mapInArrow(run, schema)
+    return rows.sortWithinPartitions(*groups).mapInArrow(run, schema)
 
 
 def _merged(rows: DataFrame, keys: list[str], groups: list[str]) -> DataFrame:
@@ -212,41 +240,44 @@ def _merged(rows: DataFrame, keys: list[str], groups: list[str]) -> DataFrame:
 
 
 def merge_sketches(sketches: DataFrame, groups: list[str], fan_in: int = 16) -> DataFrame:
-    """One sketch per group, merged in two rounds so that no task takes all sketches of a large group.
+    """One sketch per group and tail, merged in two rounds so that no task takes all sketches of a large group.
 
     A task holds one sketch at a time; sketches of a group come in an order of their own, so that a merge repeats.
     """
+    keys = [*groups, "tail"]
     salted = sketches.withColumn("_salt", F.pmod(F.xxhash64("sketch"), F.lit(fan_in)).cast("string"))
-    return _merged(_merged(salted, [*groups, "_salt"], groups), groups, groups)
+    return _merged(_merged(salted, [*keys, "_salt"], keys), keys, keys)
 
 
 def read_quantiles(sketches: DataFrame, groups: list[str], shares: list[float]) -> DataFrame:
-    """Group columns, n, least, most and one column per share (p50, p99_9, ...)."""
+    """Group columns, n, least, most and one column per share (p50, p99_9, ...).
+
+    Where sketches of both tails are there, shares below one half come from those that protect the low tail.
+    """
     names = ["p" + f"{100 * q:g}".replace(".", "_") for q in shares]
-    schema = ", ".join([*(f"`{g}` string" for g in groups), "n long", "least double", "most double", *(f"`{n}` double" for n in names)])
+    measures = ["n", "least", "most", *names]
+    schema = ", ".join([*(f"`{g}` string" for g in groups), "tail string", "n long", *(f"`{n}` double" for n in measures[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [RelativeSketch.from_bytes(raw) for raw in batch.column(len(groups)).to_pylist()]
-            values = [[p.least, p.most, *p.quantiles(shares)] for p in parts]
-            columns = [batch.column(i) for i in range(len(groups))] + [pa.array([p.n for p in parts], pa.int64())]
-            columns += [pa.array([v[i] for v in values], pa.float64()) for i in range(len(shares) + 2)]
-            yield pa.RecordBatch.from_arrays(columns, [*groups, "n", "least", "most", *names])
+            parts = [RelativeSketch.from_bytes(raw) for raw in batch.column(len(groups) + 1).to_pylist()]
+            values = [[p.n, p.least, p.most, *p.quantiles(shares)] for p in parts]
+            columns = [batch.column(i) for i in range(len(groups) + 1)]
+            columns += [pa.array([v[i] for v in values], pa.float64() if i else pa.int64()) for i in range(len(measures))]
+            yield pa.RecordBatch.from_arrays(columns, [*groups, "tail", *measures])
+
+    read = sketches.select(*groups, "tail", "sketch").mapInArrow(run, schema)
 
-    return sketches.select(*groups, "sketch").mapInArrow(run, schema)
+    def best(name: str, share: float) -> Column:
+        tail = HIGH if share >= 0.5 else LOW
+        return F.coalesce(F.max(F.when(F.col("tail") == tail, F.col(f"`{name}`"))), F.max(f"`{name}`")).alias(name)
+
+    return read.groupBy(*groups).agg(*(best(m, 1.0) for m in measures[:3]), *(best(n, q) for n, q in zip(names, shares, strict=True)))
 
 
 def percentiles(rows: DataFrame, groups: list[str], value: str, shares: list[float], k: int = K) -> DataFrame:
     """Percentiles per group, those below one half from sketches that protect the low tail, the others the high one."""
-    parts = []
-    for high in (True, False):
-        wanted = [q for q in shares if (q >= 0.5) == high]
-        sketches = merge_sketches(build_sketches(rows, groups, value, k, high), groups)
-        parts.append(read_quantiles(sketches, groups, wanted))
-    low = parts[1].drop("n", "least", "most")
-    joined = parts[0].alias("h").join(low.alias("l"), [F.col(f"h.{g}").eqNullSafe(F.col(f"l.{g}")) for g in groups])
-    names = ["p" + f"{100 * q:g}".replace(".", "_") for q in shares]
-    return joined.select(*(F.col(f"h.{g}") for g in groups), "n", "least", "most", *(F.col(f"`{n}`") for n in names))
+    return read_quantiles(merge_sketches(build_sketches(rows, groups, value, k, (HIGH, LOW)), groups), groups, shares)
 
 
 def metric_rows(evaluations: DataFrame) -> DataFrame:
