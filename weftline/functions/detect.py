@@ -196,18 +196,20 @@ def term_pattern(term: str) -> str | None:
     return rf"(?iuU)(?<!{_W})" + r"\s+".join(quoted) + TERM_ENDING + rf"(?!{_W})"
 
 
-def terminology(src: Column | str, hyp: Column | str, src_lang: Column, tgt_lang: Column, bank: list[tuple[str, str, str]]) -> Column:
+def terminology(src: Column | str, hyp: Column | str, src_lang: Column, tgt_lang: Column, bank: list[tuple[str, str, str]], lower: Column | None = None) -> Column:
     """A major finding for each bank entry (concept, en, de) found in the source and not in the hypothesis.
 
-    The bank is a literal of the plan: a term bank of thousands of entries at most.
+    The bank is a literal of the plan: a term bank of thousands of entries at most. A plain search for the term's
+    first word goes before each pattern.
     """
     parts = []
+    lower = F.lower(_text(src)) if lower is None else lower
     for concept, en, de in bank:
         forms = {"en": en, "de": de}
         if not en or not de or not all(term_pattern(x) for x in forms.values()):
             continue
         for a, b in (("en", "de"), ("de", "en")):
-            hit = (src_lang == a) & (tgt_lang == b) & F.regexp_like(_text(src), F.lit(term_pattern(forms[a]))) & ~F.regexp_like(_text(hyp), F.lit(term_pattern(forms[b])))
+            hit = (src_lang == a) & (tgt_lang == b) & F.contains(lower, F.lit(forms[a].split()[0].lower())) & F.regexp_like(_text(src), F.lit(term_pattern(forms[a]))) & ~F.regexp_like(_text(hyp), F.lit(term_pattern(forms[b])))
             details = F.to_json(F.struct(F.lit(concept).alias("concept_id"), F.lit(forms[b]).alias("expected_target_term")))
             message = f"Term-bank concept {concept} was not found as its expected target term."
             parts.append(F.when(hit, _finding("terminology_not_preserved", "major", "term_bank_exact_match", message, F.lit(forms[a]), F.lit(forms[b]), details)))
@@ -248,12 +250,14 @@ def with_findings(
     if "numbers" in detectors:
         staged = staged.withColumns({f"_keys_{side}": F.array_sort(F.transform(f"_raw_{side}", number_key)) for side in "st"})
         names += ["_keys_s", "_keys_t"]
+    if "terminology" in detectors:
+        staged, names = staged.withColumn("_lower", F.lower(_text(src))), [*names, "_lower"]
     pair = lambda n: (F.col(f"_{n}_s"), F.col(f"_{n}_t"))
     made = {
         "negation": lambda: _negation(*pair("cues")),
         "laterality": lambda: _laterality(*pair("sides")),
         "numbers": lambda: _number_mismatch(*pair("raw"), *pair("keys")),
-        "terminology": lambda: terminology(src, hyp, a, b, bank or []),
+        "terminology": lambda: terminology(src, hyp, a, b, bank or [], F.col("_lower")),
     }
     found = F.concat(*(made[d]() for d in DETECTORS if d in detectors))
     return staged.withColumn(into, found).drop(*names)
