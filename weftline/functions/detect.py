@@ -248,7 +248,9 @@ def with_findings(
                 staged = staged.withColumn(f"_{name}_{side}", column)
                 names.append(f"_{name}_{side}")
     if "numbers" in detectors:
-        staged = staged.withColumns({f"_keys_{side}": F.array_sort(F.transform(f"_raw_{side}", number_key)) for side in "st"})
+        # equal notations are equal quantities, so only other rows need their keys
+        differ = F.array_sort("_raw_s") != F.array_sort("_raw_t")
+        staged = staged.withColumns({f"_keys_{side}": F.when(differ, F.array_sort(F.transform(f"_raw_{side}", number_key))) for side in "st"})
         names += ["_keys_s", "_keys_t"]
     if "terminology" in detectors:
         staged, names = staged.withColumn("_lower", F.lower(_text(src))), [*names, "_lower"]
