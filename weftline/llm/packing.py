@@ -124,7 +124,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = ITEMS_
 
         return fill
 
-    rest = items.filter("size > 0").select("key", F.col("chunk").cast("int").alias("chunk"), F.col("size").cast("long").alias("size"))
+    # narrow rows, read by the count and the first round; their texts are tokenized once
+    rest = checkpoint(items.filter("size > 0").select("key", F.col("chunk").cast("int").alias("chunk"), F.col("size").cast("long").alias("size")))
     done = None
     before = None
     for number in range(most_rounds):
