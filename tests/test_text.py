@@ -29,7 +29,7 @@ def test_strings(spark):
     assert one(spark, text.strip_thinking("t"), "<THINK>a\nb</think> x ", "<think>open") == ["x", "<think>open"]
     assert one(spark, text.unescape("t"), "A &amp; B &lt; C &gt; D &quot;q&quot; &amp;lt;") == ['A & B < C > D "q" &lt;']
     assert one(spark, text.area("t"), "  Head   and  Neck ", "abdomen,pelvis", "Abdomen , Pelvis ,", None, " ") == ["head and neck", "abdomen, pelvis", "abdomen, pelvis", "unspecified", "unspecified"]
-    assert one(spark, text.same_model("t", F.lit("DeepSeek-V4-Flash")), "deepseek-ai/deepseek-v4-flash-0731", "other/DeepSeek-V4-Pro") == [True, False]
+    assert one(spark, text.same_model("t", F.lit("Vendor-V4-Flash")), "vendor/vendor-v4-flash-0731", "other/Vendor-V4-Pro") == [True, False]
 
 
 def test_batches(spark):
