@@ -158,8 +158,8 @@ def _grammar() -> _Grammar:
     return _Grammar()
 
 
-_LETTERS = re.compile(r"[^\W\d_]+")
 _MARKS = re.compile(r"[.,]")
+_LEADS = ("]", ")", ":")
 _NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
 
 
@@ -199,7 +199,7 @@ def mentions(text: str | None) -> list[tuple[int, int, int]]:
         text = fold(text)
     text = text.lower()
     g = _grammar()
-    if not g.single_words.isdisjoint(_LETTERS.findall(text)):
+    if not g.single_words.isdisjoint(text.replace("(", " ").replace("-", " ").split()):
         text = g.worded.sub(lambda m: str(g.words[m[1]]), text)
     out: list[tuple[int, int, int]] = []
     for m in g.listed.finditer(text):
@@ -216,6 +216,8 @@ def mentions(text: str | None) -> list[tuple[int, int, int]]:
                     span = last + span
             elif last in ".,":
                 span = last + span
+        if span.isdigit() and (not start or (text[start - 1] not in "]):" and (text[start - 1] != " " or text[start - 2 : start - 1] not in _LEADS))):
+            continue  # a bare number, with no unit before it either
         items = g.item.findall(span)
         if items[-1][1]:
             unit = None
