@@ -46,8 +46,7 @@ LEAST_CUT = 0.5
 #: Context counts that a task gathers before it hands them on.
 _FLUSH = 400_000
 
-_NUMBER = re.compile(r"[.,]?\d+(?:[.,]\d+)*")
-_SIGN = re.compile(r"([,:;])")
+_NUMBER = re.compile(r"\d+(?:[.,]\d+)*|[.,]\d+(?:[.,]\d+)*")
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n+|\s*\(")
 _NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
 _OMISSION = re.compile(r"(?:\s*(?:\.\.+|…|\[\s*(?:\.\.+|…)\s*\]|\(\s*(?:\.\.+|…)\s*\)))+$")
@@ -66,7 +65,7 @@ def _odd() -> frozenset[str]:
 
 def _pieces(text: str) -> list[tuple[str, int]]:
     """The pieces of a text in lower case with numbers masked, each with how it ends."""
-    masked = _SIGN.sub(r" \1 ", _NUMBER.sub(" 0 ", text.lower()))
+    masked = _NUMBER.sub(" 0 ", text.lower()).replace(",", " , ").replace(":", " : ").replace(";", " ; ")
     out = []
     at = 0
     for m in _BREAK.finditer(masked):
