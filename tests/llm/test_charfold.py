@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from weftline.functions.charforms import fold, level_map
-from weftline.llm.charfold import fold_array, fold_codes, from_codes, look_pairs, to_codes
+from weftline.llm.charfold import fold_array, fold_codes, from_codes, look_pairs, slices, to_codes
 
 ODD = "Ａ１ аеосԁ ﬁﬀ ́̈̆̀ ̧ äé   　​⁠﻿­ ³ß ıİ αβ µ … ‑ \r\n\t 가ᄀ각 ᆨ 𝐀 😀 ẩ"
 
@@ -48,3 +48,9 @@ def test_look_pairs(spark):
 @pytest.mark.parametrize("text", ["", "a" * 300_000 + "ｂ"])
 def test_sizes(text):
     assert fold_array(pa.array([text])).to_pylist() == [fold(text)]
+
+
+def test_slices_hold_every_row_once():
+    texts = pa.array(["a" * n for n in (3, 0, 9, 1, 1, 1, 20, 0)] + [None]).slice(1)
+    assert list(slices(texts, 10)) == [(0, 3), (3, 5), (5, 6), (6, 8)]
+    assert list(slices(texts.slice(0, 0), 10)) == []

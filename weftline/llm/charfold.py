@@ -215,6 +215,21 @@ def from_codes(codes: np.ndarray, offsets: np.ndarray, nulls: pa.Array | None =
     return pc.if_else(nulls, pa.scalar(None, pa.large_string()), out) if nulls is not None else out
 
 
+#: Bytes of text that the kernels take at once; temporaries are some twenty times as large.
+SLICE_BYTES = 2 << 20
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of an Arrow string array that hold at most ``most`` bytes each, or a single longer row."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, side="right")) - 1)
+        yield start, min(stop, len(texts))
+        start = stop
+
+
 def _touched(texts: pa.Array) -> np.ndarray:
     """Rows with a character outside printable ASCII and line feed."""
     texts = texts.cast(pa.large_string())
@@ -235,8 +250,8 @@ def fold_array(texts: pa.Array) -> pa.Array:
     some = texts.filter(touched)
     if not len(some):
         return texts
-    folded = from_codes(*fold_codes(*to_codes(some)))
-    return pc.replace_with_mask(texts, touched, folded)
+    parts = [from_codes(*fold_codes(*to_codes(some.slice(a, b - a)))) for a, b in slices(some)]
+    return pc.replace_with_mask(texts, touched, pa.concat_arrays(parts))
 
 
 def fold_column(df: DataFrame, column: str, into: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.charfold import to_codes
+from weftline.llm.charfold import slices, to_codes
 from weftline.llm.components import components
 from weftline.session import checkpoint
 
@@ -144,9 +144,10 @@ class SharedSpans:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                codes, offsets = to_codes(batch.column(1))
-                rows, values = sketches(codes, offsets, span, shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(values), batch.column(0).take(pa.array(rows))], ["sketch", "rep"])
+                for start, stop in slices(batch.column(1)):
+                    part = batch.slice(start, stop - start)
+                    rows, values = sketches(*to_codes(part.column(1)), span, shingle)
+                    yield pa.RecordBatch.from_arrays([pa.array(values), part.column(0).take(pa.array(rows))], ["sketch", "rep"])
 
         marks = self.texts.mapInArrow(run, f"sketch long, rep {kind}")
         left = marks.select("sketch", F.col("rep").alias("a"))
