@@ -60,3 +60,16 @@ def test_tables(spark):
     assert got == want
     assert ("hyp_text", "e30", "length", 5_000_000) in {tuple(r) for r in q.quantities(s, e).collect()}
     assert q.quantities(s.limit(0), e.limit(0)).count() == 0
+
+
+def test_trusted_links_decide_against_the_spelling(spark):
+    """Here 'gm' is written for milligrams throughout, as links with mg and µg both show; for dl one pair alone is off."""
+    segments = [(f"a{i}", f"Dosis {i} gm", f"dose {i} mg") for i in range(1, 30)] + [(f"b{i}", f"Dosis {i} mg", None) for i in range(1, 30)]
+    segments += [(f"c{i}", f"Menge {i} dl", f"volume {i * 10} ml") for i in range(1, 30)]
+    evaluations = [(f"e{k}{i}", f"{k}{i}", f"dose {i * 1000} µg") for i in range(1, 30) for k in "ab"]
+    s = spark.createDataFrame(segments, "id string, src_text string, ref_text string")
+    e = spark.createDataFrame(evaluations, "eval_id string, id string, hyp_text string")
+    got = {tuple(r) for r in q.quantities(s, e).collect()}
+    for i in range(1, 30):
+        assert {v for f, k, d, v in got if k in (f"a{i}", f"b{i}", f"ea{i}", f"eb{i}")} == {i * 1000}
+        assert ("src_text", f"c{i}", "volume", i * 100_000) in got

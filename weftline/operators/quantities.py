@@ -7,8 +7,8 @@
 3. ``unit_graph`` estimates for each linked pair of units the robust scale (mode of the log ratio, with the share of
    links that agree) and the offset of the line through the agreeing links, and snaps the scale to the nearest
    known conversion, a power of ten for the units of this grammar.
-4. ``unit_scales`` propagates from one anchor unit per dimension along the best supported pairs of that graph. A unit
-   that no trusted link reaches keeps the scale its prefix states.
+4. ``unit_scales`` propagates from one anchor unit per dimension along the best supported pairs of that graph, against
+   the spelling too where two pairs agree on it. A unit that no trusted link reaches keeps the scale its prefix states.
 
 The units are a closed grammar of prefixes and base units, so that the graph on the driver has at most as many nodes.
 """
@@ -326,38 +326,36 @@ def unit_graph(links: DataFrame) -> list[dict]:
     return out
 
 
-def unit_scales(graph: list[dict], least_links: int = 3, least_share: float = 0.6) -> dict[int, tuple[str, int, bool]]:
+def unit_scales(graph: list[dict], least_links: int = 3, least_share: float = 0.6, least_against: int = 10) -> dict[int, tuple[str, int, bool]]:
     """Number of the unit to (dimension, exponent, whether links confirmed it).
 
     Scales go out from the anchors along edges with enough links that agree, snapped scale and no offset, best
-    supported edge first. What the graph does not reach keeps its known conversion.
+    supported unit first; the edges decide, also against the spelling. As one pair of units may be linked wrongly
+    throughout, a scale against the spelling needs edges of ``least_against`` links to two units of known scale, and
+    more support than the other scales. Edges between dimensions are no conversion. What the graph does not reach, or
+    reaches by one such edge alone, keeps its known conversion, and nothing goes out from it.
     """
     all_units = units()
     number = {u.token: i for i, u in enumerate(all_units)}
     edges = [e for e in graph if e["n"] >= least_links and e["share"] >= least_share and e["snapped"] and e["offset"] == 0.0]
-    at = {number[token]: (dimension, all_units[number[token]].exponent) for dimension, token in ANCHORS.items()}
+    # value_b = 10 ** power * value_a for the same quantity, so one unit a is 10 ** power units b
+    ways = [w for e in edges for w in ((e["a"], e["b"], -e["power"], e), (e["b"], e["a"], e["power"], e))]
+    at = {number[token]: all_units[number[token]].exponent for token in ANCHORS.values()}
     while True:
+        votes: dict[int, dict[int, list[dict]]] = {}
+        for known, unit, step, e in ways:
+            if known in at and unit not in at and all_units[known].dimension == all_units[unit].dimension:
+                votes.setdefault(unit, {}).setdefault(at[known] + step, []).append(e)
         best = None
-        for e in edges:
-            known = (e["a"] in at) + (e["b"] in at)
-            if known == 1 and (best is None or e["n"] * e["share"] > best["n"] * best["share"]):
-                best = e
+        for unit, scales in votes.items():
+            support, exponent = max((sum(e["n"] * e["share"] for e in found), x) for x, found in scales.items())
+            trusted = exponent == all_units[unit].exponent or sum(e["n"] >= least_against for e in scales[exponent]) >= 2
+            if trusted and (best is None or support > best[0]):
+                best = support, unit, exponent
         if best is None:
             break
-        # value_b = 10 ** power * value_a for the same quantity, so one unit a is 10 ** power units b
-        if best["a"] in at:
-            dimension, exponent = at[best["a"]]
-            at[best["b"]] = (dimension, exponent - best["power"])
-        else:
-            dimension, exponent = at[best["b"]]
-            at[best["a"]] = (dimension, exponent + best["power"])
-    out = {}
-    for i, u in enumerate(all_units):
-        dimension, exponent = at.get(i, (u.dimension, u.exponent))
-        # a link chain that contradicts what the spelling itself states is a wrong link, not a new unit
-        agreed = (dimension, exponent) == (u.dimension, u.exponent)
-        out[i] = (u.dimension, u.exponent, i in at and agreed) if not agreed else (dimension, exponent, i in at)
-    return out
+        at[best[1]] = best[2]
+    return {i: (u.dimension, at.get(i, u.exponent), i in at) for i, u in enumerate(all_units)}
 
 
 def base_values(read: DataFrame, scales: dict[int, tuple[str, int, bool]], keys: list[str]) -> DataFrame:
