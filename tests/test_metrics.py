@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftline.functions import metrics as m
@@ -63,3 +64,9 @@ def test_sums_give_corpus_scores(spark):
     sums = df.agg(m.sum_stats("b", 10).alias("b"), m.sum_stats("t", 2).alias("t"))
     row = sums.select(m.bleu(F.col("b")).alias("b"), m.ter(F.col("t")).alias("t")).first()
     assert math.isclose(row["b"], 100 * (7 / 8 * 4 / 6 * 2 / 4 * 1 / 2) ** 0.25) and row["t"] == 12.5
+
+
+def test_distances_of_many_texts_at_once():
+    rng = np.random.default_rng(5)
+    ref, hyps = rng.integers(0, 6, 17), rng.integers(0, 6, (40, 13))
+    assert m._last_distances(hyps.T.copy(), ref).tolist() == [m._distances(h, ref)[-1, -1] for h in hyps]

@@ -94,6 +94,21 @@ def _distances(hyp: np.ndarray, ref: np.ndarray) -> np.ndarray:
     return rows
 
 
+def _last_distances(hyps: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Edit distances of many texts of one length, a column each, as ``_distances`` gives them one by one.
+
+    Held less the place in the reference, so that the running minimum needs no further steps.
+    """
+    n, m = len(hyps), len(ref)
+    held = np.zeros((m + 1, hyps.shape[1]), np.int32)
+    row = np.empty_like(held)
+    for i in range(n):
+        row[0] = i + 1
+        np.minimum(held[:-1] - (ref[:, None] == hyps[i]), held[1:] + 1, out=row[1:])
+        np.minimum.accumulate(row, axis=0, out=held)
+    return held[m] + m
+
+
 def _trace(rows: np.ndarray, hyp: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Errors of hypothesis and reference words on a best path, and the hypothesis place of each reference word."""
     i, j = len(hyp), len(ref)
@@ -125,7 +140,7 @@ def ter_counts(hyp: str, ref: str) -> list[int]:
     rows = _distances(h, r)
     while rows[-1, -1] > 0 and tried < TER_CANDIDATES:
         bad_h, bad_r, place = _trace(rows, h, r)
-        best = None
+        found, moves = [], []
         for start in range(len(h)):
             for at in np.flatnonzero(r == h[start]):
                 if abs(int(at) - start) > TER_DISTANCE or at < 0 or place[at] == start:
@@ -141,16 +156,18 @@ def ter_counts(hyp: str, ref: str) -> list[int]:
                     tried += 1
                     piece, rest = h[start : start + size], np.concatenate([h[:start], h[start + size :]])
                     to = target - size if target > start else target
-                    moved = np.concatenate([rest[:to], piece, rest[to:]])
-                    again = _distances(moved, r)
-                    gain = int(rows[-1, -1] - again[-1, -1])
-                    if best is None or (gain, size, -start, -to) > best[0]:
-                        best = (gain, size, -start, -to), moved, again
+                    moves.append(np.concatenate([rest[:to], piece, rest[to:]]))
+                    found.append((size, -start, -to))
                     if tried >= TER_CANDIDATES:
                         break
-        if best is None or best[0][0] <= 0:
+        if not moves:
+            break
+        ends = np.concatenate([_last_distances(np.array(moves[k : k + 256]).T.copy(), r) for k in range(0, len(moves), 256)])
+        gain, *_, best = max((int(rows[-1, -1] - end), *key, -k) for k, (end, key) in enumerate(zip(ends, found, strict=True)))
+        if gain <= 0:
             break
-        h, rows = best[1], best[2]
+        h = moves[-best]
+        rows = _distances(h, r)
         shifts += 1
     return [int(rows[-1, -1]) + shifts, len(r)]
 

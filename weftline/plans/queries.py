@@ -92,8 +92,8 @@ def leaderboard_evaluations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def leaderboard_surface(spark: SparkSession, d: str) -> DataFrame:
-    """Leaderboard with corpus BLEU and chrF++ of all evaluations that have a reference."""
-    rows = aggregate.with_stats(corpora.referenced(spark, d), ter=False)
+    """Leaderboard with corpus BLEU, chrF++ and TER of all evaluations that have a reference."""
+    rows = aggregate.with_stats(corpora.referenced(spark, d))
     return aggregate.leaderboard(rows, F.try_element_at("metrics", F.lit("comet")))
 
 
