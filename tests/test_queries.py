@@ -28,3 +28,11 @@ def test_leaderboard_surface_has_ter(spark, folder):
     got = {r["model"]: r for r in queries.leaderboard_surface(spark, folder).collect()}
     edits, words = m.ter_counts("On the left no effusion.\nHeart of normal size.", "No effusion on the left.\nHeart of normal size.")
     assert math.isclose(got["aster-600m"]["ter"], 100 * edits / words) and got["kelp-api"]["ter"] > 0
+
+
+def test_round_trip_takes_all_segments_for_ten_cycles(spark, folder):
+    rows = queries.roundtrip_step_summary(spark, folder).collect()
+    got = {(r["step"], r["direction"]): r["n_segments"] for r in rows}
+    assert len(rows) == len(got) == 60 and {r["cycle"] for r in rows} == set(range(1, 11))
+    assert [got[1, x] for x in ("de->en", "en->de", "tr->en")] == [3, 1, 1] and [got[20, x] for x in ("en->de", "de->en", "en->tr")] == [3, 1, 1]
+    assert all(r["bleu"] > 99.99 and r["ter"] == 0 for r in rows if r["step"] % 2 == 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -141,37 +142,26 @@ def round_trip(segments: DataFrame, forward: Translator, backward: Translator |
     source, target = corpus.single_direction(segments)
     with_refs = segments.filter("ref_text IS NULL").limit(1).isEmpty()
     current = segments.select("id", "domain", "src_text", "ref_text", F.col("src_text").alias("input_text"))
-    out = None
+    steps = []
     for step in range(1, 2 * cycles + 1):
         there = step % 2 == 1
         a, b = (source, target) if there else (target, source)
         model = forward if there else backward or forward
         done = checkpoint(model.translate(current, "input_text", "hyp_text", a, b))
-        anchor = "ref_text" if there else "src_text"
-        found = detect.with_findings(done, "src_text", "hyp_text", F.lit(source), F.lit(b), bank)
-        found = detect.with_findings(found, "input_text", "hyp_text", F.lit(a), F.lit(b), bank, "hop_findings")
-        counts = {"bleu": metrics.bleu_stats, "chrf": metrics.chrf_stats, "ter": metrics.ter_stats}
-        forms = {"bleu": metrics.bleu, "chrf": metrics.chrf, "ter": metrics.ter}
-        for n in SCORED:
-            found = found.withColumn(f"_{n}", counts[n]("hyp_text", anchor))
-        scores = {n: forms[n](F.col(f"_{n}")) for n in SCORED}
-        given = F.create_map(*[x for n in SCORED for x in (F.lit(n), scores[n])]) if with_refs or not there else F.create_map().cast("map<string,double>")
-        rows = found.select(
-            "id",
-            "domain",
-            F.lit((step + 1) // 2).alias("cycle"),
-            F.lit(step).alias("step"),
-            F.lit(f"{a}->{b}").alias("direction"),
-            "src_text",
-            "ref_text",
-            "input_text",
-            "hyp_text",
-            given.alias("metrics"),
-            "findings",
-            "hop_findings",
-            F.lit(model.name).alias("model"),
-        )
-        rows = rows.withColumn("has_critical_error", detect.has_critical("findings")).withColumn("hop_has_critical_error", detect.has_critical("hop_findings"))
-        out = rows if out is None else out.unionByName(rows)
+        given = {"cycle": (step + 1) // 2, "step": step, "direction": f"{a}->{b}", "model": model.name, "_a": a, "_b": b}
+        steps.append(done.withColumns({n: F.lit(v) for n, v in given.items()}))
         current = done.select("id", "domain", "src_text", "ref_text", F.col("hyp_text").alias("input_text"))
-    return out
+    # all steps are scored by one plan: the filter, always true, keeps the optimizer from scoring below the union, step by step
+    found = reduce(DataFrame.unionByName, steps).withColumn("_fence", F.monotonically_increasing_id()).filter("_fence >= 0")
+    there = F.col("step") % 2 == 1
+    found = found.withColumn("_anchor", F.when(there, F.col("ref_text")).otherwise(F.col("src_text")))
+    found = detect.with_findings(found, "src_text", "hyp_text", F.lit(source), F.col("_b"), bank)
+    found = detect.with_findings(found, "input_text", "hyp_text", F.col("_a"), F.col("_b"), bank, "hop_findings")
+    counts = {"bleu": metrics.bleu_stats, "chrf": metrics.chrf_stats, "ter": metrics.ter_stats}
+    forms = {"bleu": metrics.bleu, "chrf": metrics.chrf, "ter": metrics.ter}
+    for n in SCORED:
+        found = found.withColumn(f"_{n}", counts[n]("hyp_text", "_anchor"))
+    scores = F.create_map(*[x for n in SCORED for x in (F.lit(n), forms[n](F.col(f"_{n}")))])
+    given = scores if with_refs else F.when(there, F.create_map().cast("map<string,double>")).otherwise(scores)
+    rows = found.select("id", "domain", "cycle", "step", "direction", "src_text", "ref_text", "input_text", "hyp_text", given.alias("metrics"), "findings", "hop_findings", "model")
+    return rows.withColumn("has_critical_error", detect.has_critical("findings")).withColumn("hop_has_critical_error", detect.has_critical("hop_findings"))

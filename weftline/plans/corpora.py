@@ -44,8 +44,8 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct segments by id (texts are equal in all deliveries), languages as codes."""
-    rows = table(spark, d, "segments").select("id", "source", language("src_lang").alias("src_lang"), language("tgt_lang").alias("tgt_lang"), "src_text", "ref_text")
+    """Distinct segments by id (texts are equal in all deliveries), languages as codes, domains in lower case."""
+    rows = table(spark, d, "segments").select("id", "source", domain("domain").alias("domain"), language("src_lang").alias("src_lang"), language("tgt_lang").alias("tgt_lang"), "src_text", "ref_text")
     return rows.filter("id IS NOT NULL").dropDuplicates(["id"])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -218,9 +220,17 @@ def paired_bootstrap_bleu(spark: SparkSession, d: str) -> DataFrame:
 
 
 def roundtrip_step_summary(spark: SparkSession, d: str) -> DataFrame:
-    """One cycle of the control translator over the German single-line segments with a reference."""
-    rows = corpora.segments(spark, d).filter("src_lang = 'de' AND tgt_lang = 'en' AND ref_text <> '' AND source = 'emea'").withColumn("domain", F.col("source"))
-    steps = aggregate.step_summary(translate.round_trip(rows, translate.create("identity"), cycles=1))
+    """Ten cycles of the control translator over all segments with source, reference and known languages.
+
+    A round trip per pair of languages; ``direction`` is that of the step, so that a row is one step of one trip.
+    """
+    rows = checkpoint(corpora.segments(spark, d).filter("src_text <> '' AND ref_text <> '' AND src_lang <> tgt_lang"))
+    pairs = sorted(tuple(r) for r in rows.select("src_lang", "tgt_lang").distinct().collect())  # few languages are known
+    if not pairs:
+        raise ValueError("no segments")
+    trips = [translate.round_trip(rows.filter((F.col("src_lang") == a) & (F.col("tgt_lang") == b)), translate.create("identity"), cycles=10) for a, b in pairs]
+    brief = [t.select(F.lit(i).alias("trip"), "step", "cycle", "direction", "hyp_text", "metrics", "findings", "has_critical_error") for i, t in enumerate(trips)]
+    steps = aggregate.step_summary(reduce(DataFrame.unionByName, brief), ["trip"])
     return steps.select("step", "cycle", "direction", "n_segments", "critical_error_rate", "bleu", "chrf", "ter", "mean_output_chars")
 
 
