@@ -36,3 +36,8 @@ def test_round_trip_takes_all_segments_for_ten_cycles(spark, folder):
     assert len(rows) == len(got) == 60 and {r["cycle"] for r in rows} == set(range(1, 11))
     assert [got[1, x] for x in ("de->en", "en->de", "tr->en")] == [3, 1, 1] and [got[20, x] for x in ("en->de", "de->en", "en->tr")] == [3, 1, 1]
     assert all(r["bleu"] > 99.99 and r["ter"] == 0 for r in rows if r["step"] % 2 == 0)
+
+
+def test_paired_bootstrap_bleu_takes_all_resamples(spark, folder):
+    row = queries.paired_bootstrap_bleu(spark, folder).first()
+    assert row["resamples"] == 2000 and row["ci_low"] <= row["observed_difference"] <= row["ci_high"]

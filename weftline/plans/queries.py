@@ -216,7 +216,7 @@ def paired_bootstrap_bleu(spark: SparkSession, d: str) -> DataFrame:
     """Paired bootstrap of corpus BLEU of two systems."""
     rows = corpora.referenced(spark, d).filter("model IN ('aster-600m', 'kelp-api')").withColumn("s", metrics.bleu_stats("hyp_text", "ref_text"))
     sides = [rows.filter(F.col("model") == m).groupBy("id").agg(F.min("s").alias(n)) for n, m in (("a", "aster-600m"), ("b", "kelp-api"))]
-    return stats.paired_bootstrap(sides[0].join(sides[1], "id"), "id", "a", "b", metrics.BLEU_SIZE, metrics.bleu, 200)
+    return stats.paired_bootstrap(sides[0].join(sides[1], "id"), "id", "a", "b", metrics.BLEU_SIZE, metrics.bleu)
 
 
 def roundtrip_step_summary(spark: SparkSession, d: str) -> DataFrame:
