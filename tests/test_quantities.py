@@ -21,6 +21,9 @@ def read(text):
         ("boyut (CM): 1,93x2 a", [("cm", 193, 2), ("cm", 2, 0)]),
         ("Maße in mm: 28,8", [("mm", 288, 1)]),
         ("On iki mililitre", [("mililitre", 12, 0)]),
+        ("twenty-five mm, two hundred and five ml", [("mm", 25, 0), ("ml", 205, 0)]),
+        ("fünfundzwanzig mm, zweihundert ml, hundertelf mg", [("mm", 25, 0), ("ml", 200, 0), ("mg", 111, 0)]),
+        ("iki yüz kırk beş mg", [("mg", 245, 0)]),
         ("five milligrams", [("milligrams", 5, 0)]),
         ("112ММ and ５ ｃｍ", [("mm", 112, 0), ("cm", 5, 0)]),
         ("5 mg/dl, 12 Wochen, 45 HU, 12.03.2015 entsorgen, C6/7", []),
@@ -38,13 +41,52 @@ def test_numbers():
     assert [q.read_number(t) for t in ("1,234,567", "1.234,5", "0,05", ".125", "12", "zwölf", "3.50")] == [(1234567, 0), (12345, 1), (5, 2), (125, 3), (12, 0), (12, 0), (350, 2)]
 
 
-def test_scales_come_from_links_and_wrong_links_do_not_spoil_them():
+def test_numbers_beyond_64_bits_keep_their_size():
+    assert q.read_number("4" + "0" * 29) == (4 * 10**17, -12)
+    assert q.read_number("0." + "0" * 29 + "12") == (12, 31)
+    assert q.read_number("1.5" + "0" * 40) == (15 * 10**16, 17)
+
+
+def edge(a, b, power, n=50, share=0.95):
     number = {u.token: i for i, u in enumerate(UNITS)}
-    edge = lambda a, b, power, n=50, share=0.95: {"a": number[a], "b": number[b], "n": n, "share": share, "power": power, "snapped": True, "offset": 0.0}
-    scales = q.unit_scales([edge("mm", "cm", -1), edge("cm", "zentimeter", 0), edge("mg", "mm", 2, share=0.2), edge("ml", "cl", 3)])
-    assert scales[number["zentimeter"]] == ("length", 4, True)
-    assert scales[number["cl"]] == ("volume", 4, False)  # contradicts its spelling
-    assert scales[number["kilogramm"]] == ("mass", 9, False)
+    (sa, ua), (sb, ub) = a.split("/"), b.split("/")
+    return q.Edge(q.Node(sa, number[ua]), q.Node(sb, number[ub]), n, share, power, 0.0)
+
+
+def named(scales):
+    return {f"{node.source}/{UNITS[node.unit].token}": exponent for node, (exponent, _) in scales.items()}
+
+
+def test_scales_come_from_links_and_wrong_links_do_not_spoil_them():
+    scales = q.unit_scales([edge("s/mm", "m/cm", -1), edge("s/mm", "n/zentimeter", -1), edge("s/ml", "m/cl", 3), edge("s/mg", "m/mm", 2)])
+    assert named(scales) == {"s/mm": 3, "m/cm": 4, "n/zentimeter": 4, "s/ml": 3, "m/cl": 4}
+    confirmed = {f"{node.source}/{UNITS[node.unit].token}": sure for node, (_, sure) in scales.items()}
+    assert confirmed["m/cm"] and not confirmed["m/cl"]  # one edge against the spelling is no proof
+
+
+def test_a_source_that_writes_another_unit_than_it_means_is_put_right_by_the_graph():
+    """Source x writes mg and g, but its numbers are those of micrograms and milligrams."""
+    models = "abcd"
+    links = [edge("x/mg", f"{m}/mg", -3) for m in models] + [edge("x/g", f"{m}/mg", 0) for m in models]
+    links += [edge("y/mg", f"{m}/mg", 0, n=20) for m in models] + [edge("y/g", f"{m}/mg", 3, n=20) for m in models]
+    assert named(q.unit_scales(links)) == {"x/mg": 0, "x/g": 3, "y/mg": 3, "y/g": 6, **{f"{m}/mg": 3 for m in models}}
+
+
+def test_one_edge_decides_where_the_spelling_names_no_prefix():
+    assert named(q.unit_scales([edge("s/gr", "m/mg", 0)])) == {"s/gr": 3, "m/mg": 3}
+    assert named(q.unit_scales([edge("s/g", "m/mg", 0)])) == {"s/g": 6, "m/mg": 3}
+
+
+def test_a_planted_source_changes_values_and_no_number_stops_the_job(spark):
+    segments = [(f"x{i}", "lab", f"Dosis {i} mg", f"dose {i} µg") for i in range(1, 30)] + [(f"y{i}", "ward", f"Dosis {i} mg", f"dose {i * 1000} µg") for i in range(1, 30)]
+    segments += [("big", "ward", "4000000000000000000 l", "1" + "0" * 40 + " mm and 0." + "0" * 30 + "1 mm")]
+    evaluations = [(f"e{m}{k}{i}", f"{k}{i}", m, f"dose {i if k == 'x' else i * 1000} µg") for i in range(1, 30) for k in "xy" for m in ("a", "b")]
+    s = spark.createDataFrame(segments, "id string, source string, src_text string, ref_text string")
+    e = spark.createDataFrame(evaluations, "eval_id string, id string, model string, hyp_text string")
+    got = {tuple(r) for r in q.quantities(s, e).collect()}
+    assert {v for f, k, d, v in got if f == "src_text" and k == "x7"} == {7}  # as linked, not as spelled
+    assert {v for f, k, d, v in got if f == "src_text" and k == "y7"} == {7000}
+    assert {(f, v) for f, k, d, v in got if k == "big"} == {("src_text", None), ("ref_text", None), ("ref_text", 0)}
 
 
 def test_tables(spark):
@@ -53,7 +95,7 @@ def test_tables(spark):
     s = spark.createDataFrame(segments, "id string, src_text string, ref_text string").selectExpr("*", "1 AS units", "2 AS field")
     e = spark.createDataFrame(evaluations, "eval_id string, id string, hyp_text string")
     graph = q.learned_graph(q.read_all(s, e))
-    assert {(UNITS[x["a"]].token, UNITS[x["b"]].token, x["power"]) for x in graph if x["share"] > 0.9 and x["n"] > 20} == {("cm", "mm", 1), ("mm", "µm", 3)}
+    assert {(UNITS[x.a.unit].token, UNITS[x.b.unit].token, x.power) for x in graph if x.share > 0.9 and x.n > 20} == {("mm", "cm", -1), ("mm", "µm", 3)}
     gone = spark.createDataFrame([("e30",)], "eval_id string")
     got = {tuple(r) for r in q.quantities(s, e, gone).collect()}
     want = {(f, k, "length", i * 1000) for i in range(1, 30) for f, k in (("src_text", f"s{i}"), ("ref_text", f"s{i}"), ("hyp_text", f"e{i}"))}

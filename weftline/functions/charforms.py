@@ -9,7 +9,6 @@ dotted and dotless i, line breaks, dashes, the number of blanks.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -30,15 +29,17 @@ _INVISIBLE = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xF
 _LINE_BREAKS = [0x0B, 0x0C, 0x85, 0x2028, 0x2029]
 
 
+#: Where compatibility forms, marks and format characters lie; ideographs and private use have none.
+_BLOCKS = (range(0x3400), range(0xA000, 0xAC00), range(0xF900, 0x20000), range(0x2F800, 0x2FA20), range(0xE0000, 0xE0200))
+
+
 @lru_cache(maxsize=1)
 def level_map() -> dict[int, str]:
     """Code point to the string that stands for it; code points that stay are absent. NFC is not in it."""
     pairs = LOOKALIKES.split()
     lookalike = dict(zip(pairs[::2], pairs[1::2], strict=True))
     out: dict[int, str] = {}
-    for code in range(sys.maxunicode + 1):
-        if 0xD800 <= code < 0xE000:
-            continue
+    for code in (c for part in _BLOCKS for c in part):
         ch = chr(code)
         kind = unicodedata.category(ch)
         if kind == "Cn":
