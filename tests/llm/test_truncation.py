@@ -1,4 +1,8 @@
 import random
+import time
+
+import numpy as np
+import pyarrow as pa
 
 from weftline.llm import truncation as t
 
@@ -60,13 +64,55 @@ def test_finds_limits_and_broken_transfers(spark):
     assert rates["model", "m0"]["records"] == 1000 and rates["model", "m0"]["rate"] > 0.5 > 0.05 > rates["model", "m1"]["rate"]
 
 
+def ending(text):
+    state, contexts, pieces, kind, row = t.read_endings(pa.array(["Other text (see", text]))
+    return int(state[1]), contexts[1], [(p, k) for p, k, r in zip(pieces.to_pylist(), kind.tolist(), row.tolist(), strict=True) if r == 1]
+
+
 def test_endings():
-    assert t.read_ending("All clear.")[0] == t.ENDS and t.read_ending("(Ref. 12)")[0] == t.ENDS
-    assert t.read_ending("size [m")[0] == t.CUT and t.read_ending("in the l�")[0] == t.CUT and t.read_ending("in th ...")[0] == t.CUT
-    assert t.read_ending("measuring 7.")[0] == t.DIGIT and t.read_ending("in the left")[0] == t.HANGS
-    state, keys, pieces = t.read_ending("One two.\nFindings:\nAge 5, que")
+    assert ending("All clear.")[0] == t.ENDS and ending("(Ref. 12)")[0] == t.ENDS and ending("Done. ...")[0] == t.ENDS
+    assert ending("size [m")[0] == t.CUT and ending("in the l\ufffd")[0] == t.CUT and ending("in th ...")[0] == t.CUT
+    assert ending("measuring 7.")[0] == t.DIGIT and ending("in the left")[0] == t.HANGS
+    state, keys, pieces = ending("One two.\nFindings:\nAge 5, que")
     assert state == t.HANGS and len(keys) == 6 and pieces == [("one two", 1), ("findings :", 1)]
-    assert t.read_ending("x" * 200_000)[0] == t.HANGS
+
+
+def test_long_words_and_texts_without_stops_are_read_whole_in_proportion():
+    began = time.perf_counter()
+    assert ending("x" * 2_000_000)[0] == t.HANGS
+    state, keys, _ = ending("word " * 400_000)
+    assert state == t.HANGS and all(keys)
+    words = t.Contexts(pa.array(["a b c d", "c d", "b c d"]))
+    last = words.offsets[1:] - 1
+    assert len(set(words.keys(t._TWO, last).tolist())) == 1 and len(set(words.keys(t._START, last).tolist())) == 3
+    assert words.keys(t._THREE, last[[0, 2]]).tolist()[0] == words.keys(t._THREE, last[[2]]).tolist()[0]
+    assert time.perf_counter() - began < 20
+
+
+def test_context_counts_equal_a_plain_count(spark):
+    rng = random.Random(3)
+    pieces = [(" ".join(rng.choice("ab cde fg abc".split()) for _ in range(rng.randint(1, 6))), rng.randint(1, 2), rng.randint(1, 4)) for _ in range(200)]
+    got = {r["context"]: (r["stops"], r["goes"], r["seen"]) for r in t.context_counts(spark.createDataFrame(pieces, "piece string, kind byte, n long")).collect()}
+    for context in ("ab", "cde fg", "ab ab cde"):
+        words = context.split()
+        key = t.Contexts(pa.array([context])).keys(len(words), np.array([len(words) - 1]))[0]
+        want = [0, 0, 0]
+        for piece, kind, n in pieces:
+            have = piece.split()
+            for i in range(len(words), len(have) + 1):
+                if have[i - len(words) : i] == words:
+                    want[1 if i < len(have) else 0 if kind == 1 else 2] += n
+        assert got.get(key, (0, 0, 0)) == tuple(want)
+
+
+def test_frequent_contexts_give_the_same_by_broadcast(spark, monkeypatch):
+    rows, _ = corpus()
+    df = spark.createDataFrame(rows, "eval_id string, hyp_text string, model string, source string")
+    got = []
+    for hot in (0, 1 << 40):
+        monkeypatch.setattr(t, "HOT", hot)
+        got.append({(r["key"], r["suspect"], round(r["log_p"], 6)) for r in t.Truncation(df).endings().collect()})
+    assert got[0] == got[1] and len(got[0]) > 100
 
 
 def test_significant_lengths_follow_the_excess(spark):

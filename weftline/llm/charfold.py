@@ -54,6 +54,11 @@ class FoldTables:
         self.data = np.array(data or [0], np.uint32)
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_to = np.array([pairs[k] for k in sorted(pairs)], np.uint32)
+        # code points that are not their own form wherever they stand
+        self.odd = (self.length != 1) | (self.single != np.arange(_SIZE)) | (self.ccc > 0)
+        self.odd[13] = True
+        self.odd[[k & 0x1FFFFF for k in pairs]] = True
+        self.odd[_V_BASE : _T_BASE + 28] = True
 
     def _put(self, code: int, to: str, data: list[int]) -> None:
         self.length[code] = len(to)
@@ -242,12 +247,26 @@ def _touched(texts: pa.Array) -> np.ndarray:
     return np.diff(seen) > 0
 
 
+def _odd_rows(texts: pa.Array) -> np.ndarray:
+    """Rows with a code point that may not be its own form; the others need no composing."""
+    codes, offsets = to_codes(texts)
+    seen = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(tables().odd[codes], out=seen[1:])
+    return np.diff(seen[offsets]) > 0
+
+
 def fold_array(texts: pa.Array) -> pa.Array:
     """The consistent form of an Arrow string array, as large_string."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     texts = texts.cast(pa.large_string())
     touched = pa.array(_touched(texts))
     some = texts.filter(touched)
+    if not len(some):
+        return texts
+    odd = np.concatenate([_odd_rows(some.slice(a, b - a)) for a, b in slices(some)])
+    mask = np.zeros(len(texts), bool)
+    mask[np.flatnonzero(touched.to_numpy(zero_copy_only=False))[odd]] = True
+    touched, some = pa.array(mask), some.filter(pa.array(odd))
     if not len(some):
         return texts
     parts = [from_codes(*fold_codes(*to_codes(some.slice(a, b - a)))) for a, b in slices(some)]
