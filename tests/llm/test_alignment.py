@@ -1,4 +1,5 @@
 import random
+import time
 
 from weftline.llm import alignment as a
 
@@ -81,3 +82,29 @@ def test_moved_lines_pair_without_order():
     ref = [a.tokens("kidney cyst"), a.tokens("liver cyst")]
     assert a.align(src, ref, tables) == [(0, 1), (1, 0)]
     assert a.align([], ref, tables) == [] and a.align(src, [[]], tables) == []
+
+
+def test_tables_of_any_size_give_the_same(spark):
+    rows, _ = documents(60, 9)
+    df = spark.createDataFrame([*rows, rows[0]], "id string, src_text string, ref_text string, src_lang string")
+    held, joined = ({tuple(r) for r in a.align_documents(df, most_entries=n).collect()} for n in (a.MOST_ENTRIES, 0))
+    assert held == joined and len(held) > 100
+
+
+def test_a_line_of_20000_words_takes_time_in_proportion(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randint(0, 5000)}" for _ in range(20_000)]
+    long = (" ".join(words), " ".join(f"{w}x" for w in words))
+    rows = [("long", f"Befund:\n{long[0]}", f"Findings:\n{long[1]}", "de"), ("long2", f"{long[0]}\nBefund:", f"{long[1]}\nFindings:", "de")]
+    began = time.perf_counter()
+    got = {tuple(r) for r in a.align_documents(spark.createDataFrame(rows, "id string, src_text string, ref_text string, src_lang string")).collect()}
+    assert {("long", 2, 2), ("long2", 1, 1)} <= got and time.perf_counter() - began < 240
+
+
+def test_many_lines_that_join_one_are_no_cubic_search():
+    table = a.Tables([], {}, 1.0)
+    src = [[f"#{k}{i}" for k in (7, 8)] for i in range(600)]
+    ref = [[t for line in src[:300] for t in line], *src[300:]]
+    began = time.perf_counter()
+    got = a.align(src, ref, table)
+    assert {(i, i - 299) for i in range(300, 600)} <= set(got) and sum(j == 0 for _, j in got) >= 1 and time.perf_counter() - began < 20
