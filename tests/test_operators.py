@@ -6,8 +6,9 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import metrics
+from weftline.functions import metrics, text
 from weftline.operators import aggregate, corpus, stats, translate
+from weftline.sources import writers
 from weftline.streaming import scorer
 
 FINDING = "array<struct<code:string,severity:string>>"
@@ -145,3 +146,51 @@ def test_compare_needs_equal_runs(spark):
     with pytest.raises(ValueError, match="do not match"):
         stats.paired(df, df.filter("id > 'a'"))
     assert metrics.SIGNATURES["bleu"].startswith("weftline")
+
+
+def test_summary_curve_and_report_files(spark, tmp_path):
+    df = spark.createDataFrame([("s1", "d", "Kein Erguss.", "No effusion.", "de", "en")], "id string, domain string, src_text string, ref_text string, src_lang string, tgt_lang string")
+    trip = translate.round_trip(df, Worse(), cycles=1)
+    curve = {r["step"]: r for r in aggregate.step_curve(trip).collect()}
+    assert (curve[1]["crit_rate"], curve[1]["hop_crit_rate"], curve[2]["hop_crit_rate"], curve[2]["neg"], curve[2]["n"]) == (1.0, 1.0, 0.0, 1, 1)
+    text = writers.write_curve(aggregate.step_curve(trip), str(tmp_path), figures=True)
+    assert "| worse | 1.00 | 1.00 |" in text and (tmp_path / "ROUNDTRIP_RESULTS.md").exists() and (tmp_path / "figure_clinical.csv").exists()
+    assert spark.read.option("header", True).csv(str(tmp_path / "roundtrip_steps.csv")).columns == aggregate.CURVE_COLUMNS
+    scored = translate.score(translate.predict(df, translate.create("identity"), "de", "en"))
+    out = writers.write_summary(aggregate.run_summary(scored), str(tmp_path / "s.json"))
+    assert out["model"] == "identity" and out["n_segments"] == 1 and out["has_references"] and out["surface"]["signatures"]["bleu"] == metrics.SIGNATURES["bleu"]
+    assert math.isclose(out["surface"]["ter"], metrics.corpus_metric(scored, "ter")) and out["clinical"]["critical_error_segments"] == 1
+    paths = writers.write_report(aggregate.leaderboard(aggregate.with_stats(scored)), str(tmp_path / "report"))
+    assert json.loads(open(paths["master_json"]).read())["table"][0]["model"] == "identity"
+    for bad in (lambda: metrics.corpus_metric(scored, "x"), lambda: metrics.corpus_metric(scored.limit(0), "bleu"), lambda: metrics.corpus_metric(scored.withColumn("ref_text", F.lit(None).cast("string")), "ter")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_adapters_and_learned_metrics(spark):
+    with pytest.raises(RuntimeError, match="weights"):
+        translate.create("nllb")
+    translate.register("shout", lambda: lambda texts, a, b: [t.upper() for t in texts])
+    df = spark.createDataFrame([("a", "b", "c"), ("d", "e", "f")], "src_text string, hyp_text string, ref_text string")
+    assert [r["hyp_text"] for r in translate.create("shout").translate(df.drop("hyp_text"), "src_text", "hyp_text", "de", "en").orderBy("src_text").collect()] == ["A", "D"]
+    sizes = lambda: lambda records: [float(len(r)) for r in records]
+    assert [r["comet"] for r in translate.Neural("x", sizes).score(df).collect()] == [3.0, 3.0]
+    assert [r["comet"] for r in translate.Neural("x", sizes, reference_free=True).score(df.drop("ref_text")).collect()] == [2.0, 2.0]
+    with pytest.raises(ValueError, match="references"):
+        translate.Neural("x", sizes).score(df.withColumn("ref_text", F.lit(None).cast("string")))
+    with pytest.raises(RuntimeError, match="weights"):
+        translate.Neural("x").score(df)
+    assert translate.retry_delay("7", 3, 0.5) == 7 and translate.retry_delay("900", 0, 0.5) == 60 and translate.retry_delay("soon", 2, 0.5) == 4 and translate.retry_delay(None, 9, 0.0) == 30
+
+
+def test_prompts_and_references_of_characters(spark):
+    df = spark.createDataFrame([("Fisch &amp; Chips &#8364;5 &uuml;ber &lt;b&gt;", "tr")], "t string, l string")
+    row = df.select(text.unescape("t").alias("u"), text.target_prompt("t", "l").alias("p"), text.api_prompt("t", F.lit("de"), "l").alias("a")).first()
+    assert row["u"] == "Fisch & Chips €5 über <b>" and "into Turkish." in row["p"] and "from German to Turkish." in row["a"] and row["p"].endswith("&gt;")
+
+
+def test_resamples_follow_the_poisson_distribution(spark):
+    df = spark.range(200).selectExpr("cast(id as string) AS id")
+    drawn = stats.resampled(df, "id", 400, 13).groupBy("resample").agg(F.sum("weight").alias("w"), F.max("weight").alias("m"))
+    got = drawn.agg(F.count("*").alias("n"), F.avg("w").alias("mean"), F.var_samp("w").alias("spread"), F.max("m").alias("m")).first()
+    assert got["n"] == 400 and abs(got["mean"] - 200) < 3 and 140 < got["spread"] < 270 and 4 <= got["m"] <= 12

@@ -58,14 +58,14 @@ def test_sgml_archive(spark, tmp_path):
 
 def test_reports(spark):
     rows = [
-        (1, "German", "CT", " abdomen,pelvis", "Befund", "Finding", "J1", "C1", "Austria ", None),
+        (1, "German", "CT", " neck,chest", "Befund", "Finding", "J1", "C1", "Austria ", None),
         (2, " german ", None, None, "Leer", "  ", None, None, None, None),
         (3, "Turkish", " MR ", "x", "Bulgu", "Finding", None, None, None, None),
         (4, "French", "CT", "x", "a", "b", None, None, None, None),
     ]
     df = spark.createDataFrame(rows, "no long, language string, modality string, area string, report string, translation string, icd string, contributor_code string, country string, subspecialty string")
     (de,) = readers.report_segments(df).collect()
-    assert (de.id, de.domain, de.src_text, de.ref_text, de.metadata["area"], de.metadata["subspecialty"]) == ("parrot-1", "parrot-ct", "Befund", "Finding", "abdomen, pelvis", "")
+    assert (de.id, de.domain, de.src_text, de.ref_text, de.metadata["area"], de.metadata["subspecialty"]) == ("parrot-1", "parrot-ct", "Befund", "Finding", "neck, chest", "")
     (tr,) = readers.report_segments(df, "en", "tr").collect()
     assert (tr.src_text, tr.ref_text, tr.domain) == ("Finding", "Bulgu", "parrot-mr")
     with pytest.raises(ValueError):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from weftline.functions import metrics
 from weftline.operators import aggregate, corpus, stats, translate
 from weftline.schema import HYPOTHESIS_ALIASES, to_segments
-from weftline.session import checkpoint, local_session, ship
+from weftline.session import checkpoint, session, ship
 from weftline.sources import readers, writers
 
 
@@ -38,8 +39,9 @@ def _id(rows: DataFrame):
 
 def _write(scored: DataFrame, args) -> None:
     scored = checkpoint(scored)
-    writers.write_rows(scored, args.output, getattr(args, "parquet", None))
-    writers.write_summary(aggregate.run_summary(scored), f"{args.output.rstrip('/')}.summary.json")
+    counters = [f"{n}_stats" for n in metrics.COUNTERS if f"{n}_stats" in scored.columns]
+    writers.write_rows(scored.drop(*counters), args.output, getattr(args, "parquet", None))
+    print(json.dumps(writers.write_summary(aggregate.run_summary(scored), getattr(args, "summary", None) or f"{args.output.rstrip('/')}.summary.json"), sort_keys=True))
 
 
 def _run(spark, args) -> None:
@@ -58,22 +60,41 @@ def _evaluate(spark, args) -> None:
     _write(translate.score(checkpoint(predicted), _bank(spark, args.term_bank)), args)
 
 
-def _leaderboard(spark, args) -> None:
-    rows = readers.read_rows(spark, args.inputs)
+def _table(spark, paths) -> DataFrame:
+    rows = readers.read_rows(spark, paths)
     comet = F.try_element_at("metrics", F.lit("comet")) if dict(rows.dtypes).get("metrics", "").startswith("map") else None
-    table = checkpoint(aggregate.leaderboard(aggregate.with_stats(rows), comet))
-    writers.write_leaderboard(table, args.output)
+    return checkpoint(aggregate.leaderboard(aggregate.with_stats(rows), comet))
+
+
+def _leaderboard(spark, args) -> None:
+    writers.write_leaderboard(_table(spark, args.inputs), args.output)
+
+
+def _report(spark, args) -> None:
+    print(json.dumps(writers.write_report(_table(spark, args.inputs), args.output), sort_keys=True))
+
+
+def _run_rows(spark, path: str) -> DataFrame:
+    rows = readers.read_rows(spark, path)
+    flag = rows.select(_id(rows).alias("id"), "has_critical_error") if "has_critical_error" in rows.columns else None
+    kept = _predictions(rows)
+    return kept if flag is None else kept.join(flag, "id")
 
 
 def _compare(spark, args) -> None:
-    sides = [readers.read_rows(spark, p) for p in (args.baseline, args.candidate)]
-    pairs = stats.paired(*sides)
-    size, counts, form = {"bleu": (metrics.BLEU_SIZE, metrics.bleu_stats, metrics.bleu), "chrf": (metrics.CHRF_SIZE, metrics.chrf_stats, metrics.chrf), "ter": (2, metrics.ter_stats, metrics.ter)}[args.metric]
+    pairs = stats.paired(_run_rows(spark, args.baseline), _run_rows(spark, args.candidate), flags=args.error_incidence)
+    size, counts, form = metrics.COUNTERS[args.metric]
     counted = checkpoint(pairs.withColumn("b", counts("hyp_base", "ref_base")).withColumn("c", counts("hyp_cand", "ref_cand")))
-    out = stats.paired_bootstrap(counted, "id", "b", "c", size, form, args.resamples, args.seed, args.metric != "ter").first().asDict()
-    if args.mcnemar:
-        out["mcnemar"] = stats.mcnemar(counted, "critical_base", "critical_cand").first().asDict()
-    print(json.dumps(out, indent=2, sort_keys=True))
+    better = args.metric != "ter"
+    out = stats.paired_bootstrap(counted, "id", "b", "c", size, form, args.resamples, args.seed, better).first().asDict()
+    out |= {"metric": args.metric, "higher_is_better": better, "n_segments": counted.count()}
+    if args.error_incidence:
+        out["mcnemar_critical_error"] = stats.mcnemar(counted, "critical_base", "critical_cand").first().asDict()
+    text = json.dumps(out, sort_keys=True)
+    if args.output:
+        with open(args.output, "w", encoding="utf-8") as to:
+            to.write(text + "\n")
+    print(text)
 
 
 def _roundtrip(spark, args) -> None:
@@ -83,6 +104,9 @@ def _roundtrip(spark, args) -> None:
     rows = checkpoint(translate.round_trip(segments, translate.create(args.model), None, args.cycles, _bank(spark, args.term_bank)))
     writers.write_rows(rows, args.output)
     writers.write_rows(aggregate.step_summary(rows), f"{args.output.rstrip('/')}.steps")
+    if args.report:
+        os.makedirs(args.report, exist_ok=True)
+        writers.write_curve(checkpoint(aggregate.step_curve(rows)), args.report, figures=True)
 
 
 def _convert(spark, args) -> None:
@@ -107,22 +131,24 @@ def build_parser() -> argparse.ArgumentParser:
         return sub
 
     for name in ("translate", "run"):
-        sub = verb(name, _run, "input", "output", "src-lang", "tgt-lang", "term-bank", "parquet")
+        sub = verb(name, _run, "input", "output", "src-lang", "tgt-lang", "term-bank", "parquet", "summary")
         sub.add_argument("--model", default="identity")
         sub.add_argument("--reverse", action="store_true")
         sub.add_argument("--chunk-max-tokens", type=int)
-    verb("evaluate", _evaluate, "input", "output", "model", "term-bank", "parquet")
+    verb("evaluate", _evaluate, "input", "output", "model", "term-bank", "parquet", "summary")
     verb("leaderboard", _leaderboard, "inputs", "output")
-    verb("report", _leaderboard, "inputs", "output")
+    verb("report", _report, "inputs", "output")
     sub = verb("compare", _compare, "baseline", "candidate")
     sub.add_argument("--metric", choices=("bleu", "chrf", "ter"), default="bleu")
     sub.add_argument("--resamples", type=int, default=2000)
     sub.add_argument("--seed", type=int, default=13)
-    sub.add_argument("--mcnemar", action="store_true")
+    sub.add_argument("--error-incidence", action="store_true")
+    sub.add_argument("--output")
     sub = verb("roundtrip", _roundtrip, "input", "output", "src-lang", "tgt-lang", "term-bank")
     sub.add_argument("--model", default="identity")
     sub.add_argument("--cycles", type=int, default=10)
     sub.add_argument("--sample", type=int, default=0)
+    sub.add_argument("--report")
     sub = verb("convert", _convert, "input", "output")
     sub.add_argument("kind", choices=("tmx", "sgml", "reports"))
     sub.add_argument("--src-lang", default="de")
@@ -135,7 +161,7 @@ def build_parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = build_parser().parse_args(argv)
-    spark = local_session("*")
+    spark = session()
     ship(spark)
     try:
         args.handler(spark, args)

@@ -11,10 +11,11 @@ import re
 import string
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Counters: system and reference length, then correct and total of the orders 1 to 4.
@@ -128,45 +129,46 @@ def _trace(rows: np.ndarray, hyp: np.ndarray, ref: np.ndarray) -> tuple[np.ndarr
     return bad_h, bad_r, place
 
 
+def _shifts(h: np.ndarray, r: np.ndarray, rows: np.ndarray) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
+    """The shifts that may help: (size, place, aim), and the text after it; phrases of ``h`` that stand in ``r`` elsewhere."""
+    bad_h, bad_r, place = _trace(rows, h, r)
+    for start in range(len(h)):
+        for at in np.flatnonzero(r == h[start]):
+            if abs(int(at) - start) > TER_DISTANCE or place[at] == start:
+                continue
+            target = int(place[at - 1]) + 1 if at else 0
+            for size in range(1, TER_PHRASE + 1):
+                if start + size > len(h) or at + size > len(r) or h[start + size - 1] != r[at + size - 1]:
+                    break
+                if bad_h[start : start + size].any() and bad_r[at : at + size].any() and not start <= target <= start + size:
+                    piece, rest = h[start : start + size], np.concatenate([h[:start], h[start + size :]])
+                    to = target - size if target > start else target
+                    yield (size, -start, -to), np.concatenate([rest[:to], piece, rest[to:]])
+
+
 def ter_counts(hyp: str, ref: str) -> list[int]:
-    """Edits with shifts, and the reference length in words."""
+    """Edits with shifts, and the reference length in words.
+
+    At most ``TER_CANDIDATES`` shifts of a pair are tried, over all rounds, as the metric defines it.
+    """
     h_words, r_words = hyp.lower().split(), ref.lower().split()
     if not r_words or not h_words:
         return [len(h_words) if not r_words else len(r_words), len(r_words)]
     number = {w: i for i, w in enumerate(dict.fromkeys(h_words + r_words))}
     h = np.array([number[w] for w in h_words])
     r = np.array([number[w] for w in r_words])
-    shifts, tried = 0, 0
+    shifts, left = 0, TER_CANDIDATES
     rows = _distances(h, r)
-    while rows[-1, -1] > 0 and tried < TER_CANDIDATES:
-        bad_h, bad_r, place = _trace(rows, h, r)
-        found, moves = [], []
-        for start in range(len(h)):
-            for at in np.flatnonzero(r == h[start]):
-                if abs(int(at) - start) > TER_DISTANCE or at < 0 or place[at] == start:
-                    continue
-                for size in range(1, TER_PHRASE + 1):
-                    if start + size > len(h) or at + size > len(r) or h[start + size - 1] != r[at + size - 1]:
-                        break
-                    if not bad_h[start : start + size].any() or not bad_r[at : at + size].any():
-                        continue
-                    target = int(place[at - 1]) + 1 if at else 0
-                    if start <= target <= start + size:
-                        continue
-                    tried += 1
-                    piece, rest = h[start : start + size], np.concatenate([h[:start], h[start + size :]])
-                    to = target - size if target > start else target
-                    moves.append(np.concatenate([rest[:to], piece, rest[to:]]))
-                    found.append((size, -start, -to))
-                    if tried >= TER_CANDIDATES:
-                        break
-        if not moves:
+    while rows[-1, -1] > 0 and left > 0:
+        found = list(islice(_shifts(h, r, rows), left))
+        left -= len(found)
+        if not found:
             break
-        ends = np.concatenate([_last_distances(np.array(moves[k : k + 256]).T.copy(), r) for k in range(0, len(moves), 256)])
-        gain, *_, best = max((int(rows[-1, -1] - end), *key, -k) for k, (end, key) in enumerate(zip(ends, found, strict=True)))
+        ends = np.concatenate([_last_distances(np.array([m for _, m in found[k : k + 256]]).T.copy(), r) for k in range(0, len(found), 256)])
+        gain, *_, best = max((int(rows[-1, -1] - end), *key, -k) for k, (end, (key, _)) in enumerate(zip(ends, found, strict=True)))
         if gain <= 0:
             break
-        h = moves[-best]
+        h = found[-best][1]
         rows = _distances(h, r)
         shifts += 1
     return [int(rows[-1, -1]) + shifts, len(r)]
@@ -255,3 +257,17 @@ SIGNATURES = {
     "chrf": "weftline|char:6|word:2|beta:2|space:no|eff:yes|case:mixed",
     "ter": "weftline|norm:no|punct:yes|asian:no|case:lc",
 }
+
+COUNTERS = {"bleu": (BLEU_SIZE, bleu_stats, bleu), "chrf": (CHRF_SIZE, chrf_stats, chrf), "ter": (2, ter_stats, ter)}
+
+
+def corpus_metric(rows: DataFrame, name: str, hyp: str = "hyp_text", ref: str = "ref_text") -> float:
+    """One corpus score by name. A null text, no row or an unknown name is an error."""
+    if name not in COUNTERS:
+        raise ValueError(f"unknown metric {name}; known: {', '.join(COUNTERS)}")
+    size, counts, form = COUNTERS[name]
+    both = rows.select(F.col(hyp).alias("h"), F.col(ref).alias("r")).withColumn("s", counts("h", "r"))
+    got = both.agg(F.count("*").alias("n"), F.count("s").alias("whole"), sum_stats("s", size).alias("s")).select("n", "whole", form(F.col("s")).alias("score")).first()
+    if not got["n"] or got["n"] != got["whole"]:
+        raise ValueError("a metric needs rows, with a text and a reference in each")
+    return got["score"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ CHARS_PER_TOKEN = 3.0
 
 # Prompts whose wording the translation models are given.
 SINGLE_PROMPT = "Translate the following medical text from %s to %s. Return only the translation, with no explanation.\n\n%s"
+API_PROMPT = "Translate the following medical text from %s to %s. Return only the translation, with no explanation, no preamble, and no quotation marks.\n\n%s"
+TARGET_PROMPT = "Translate the following text into %s. Note that you should only output the translated result without any additional explanation:\n\n%s"
 BATCH_PROMPT = (
     "Translate each of the following %d medical texts from %s to %s.\n\n"
     "Rules:\n"
@@ -71,11 +76,18 @@ def strip_thinking(text: Column | str) -> Column:
 
 
 def unescape(text: Column | str) -> Column:
-    """The five XML entities and numeric references of the ASCII apostrophe as characters."""
-    out = F.col(text) if isinstance(text, str) else text
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """All named and numeric character references as characters, once; null for null.
+
+    Only texts with an ampersand go to Python, where the standard table of names is; the others stay in the JVM.
+    """
+    column = F.col(text) if isinstance(text, str) else text
+
+    @F.pandas_udf("string")
+    def decoded(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else html.unescape(x))
+
+    marked = F.when(F.contains(column, F.lit("&")), column)
+    return F.when(marked.isNotNull(), decoded(marked)).otherwise(column)
 
 
 def single_prompt(text: Column | str, src_lang: Column | str, tgt_lang: Column | str) -> Column:
@@ -83,6 +95,16 @@ def single_prompt(text: Column | str, src_lang: Column | str, tgt_lang: Column |
     return F.format_string(SINGLE_PROMPT, language_name(src_lang), language_name(tgt_lang), F.col(text) if isinstance(text, str) else text)
 
 
+def api_prompt(text: Column | str, src_lang: Column | str, tgt_lang: Column | str) -> Column:
+    """The prompt for one text of a served model, where a numbered reply failed."""
+    return F.format_string(API_PROMPT, language_name(src_lang), language_name(tgt_lang), F.col(text) if isinstance(text, str) else text)
+
+
+def target_prompt(text: Column | str, tgt_lang: Column | str) -> Column:
+    """The prompt of models that are told the target language only."""
+    return F.format_string(TARGET_PROMPT, language_name(tgt_lang), F.col(text) if isinstance(text, str) else text)
+
+
 def batch_prompt(texts: Column | str, src_lang: Column | str, tgt_lang: Column | str) -> Column:
     """The numbered prompt for an array of texts."""
     array = F.col(texts) if isinstance(texts, str) else texts

@@ -85,8 +85,82 @@ class Batched(Translator):
         return df.withColumn(into, F.pandas_udf(run, "string").asNondeterministic()(source))
 
 
-#: Adapters by name; models that need weights or a network register here.
-REGISTRY: dict[str, Callable[..., Translator]] = {"identity": Identity, "lookup": Lookup}
+# Longest wait in seconds and base of the growing wait between calls.
+BACKOFF_CAP, BACKOFF_BASE = 60.0, 2.0
+
+
+def retry_delay(header: str | None, attempt: int, jitter: float) -> float:
+    """Seconds to wait before a call is made again: what the service asks for, else a growing wait, up to the cap.
+
+    ``jitter`` from [0, 1) spreads callers that failed at the same time. A header that is no number counts as none.
+    """
+    try:
+        return min(float(header), BACKOFF_CAP) if header else min(BACKOFF_BASE**attempt, BACKOFF_CAP) * (0.5 + jitter)
+    except ValueError:
+        return min(BACKOFF_BASE**attempt, BACKOFF_CAP) * (0.5 + jitter)
+
+
+class Absent:
+    """An adapter whose model is not shipped: making it names what it needs, ``register`` puts a maker in its place."""
+
+    def __init__(self, name: str, needs: str):
+        self.name, self.needs = name, needs
+
+    def __call__(self, **_: object) -> Translator:
+        raise RuntimeError(f"{self.name} needs {self.needs}; register a maker for it")
+
+
+# Names of adapters and what they need; models that need weights or a network register here.
+ADAPTERS = {
+    "opus": "weights of one direction",
+    "nllb": "weights",
+    "madlad": "weights",
+    "tower": "weights",
+    "prompted-llm": "weights",
+    "hymt2": "weights",
+    "translategemma": "weights",
+    "deepl": "a network service",
+    "openai-compat": "a network service",
+}
+REGISTRY: dict[str, Callable[..., Translator]] = {"identity": Identity, "lookup": Lookup, **{n: Absent(n, needs) for n, needs in ADAPTERS.items()}}
+
+
+def register(name: str, make: Callable[[], Callable[[list[str], str, str], list[str]]], batch_size: int = 8) -> None:
+    """Registers a list-to-list model under a name; ``make`` builds it once per worker."""
+    REGISTRY[name] = lambda **options: Batched(name, make, batch_size, **options)
+
+
+class Neural:
+    """A learned metric in Arrow batches, with or without references; its values go under ``comet`` in the metrics.
+
+    ``make()`` gives a function of a list of records (src, mt and, unless reference-free, ref) to a list of numbers.
+    """
+
+    def __init__(self, checkpoint_name: str, make: Callable[[], Callable[[list[dict]], list[float]]] | None = None, reference_free: bool = False, batch_size: int = 8):
+        self.checkpoint_name, self.make, self.reference_free, self.batch_size = checkpoint_name, make, reference_free, batch_size
+
+    def score(self, df: DataFrame, src: str = "src_text", hyp: str = "hyp_text", ref: str = "ref_text", into: str = "comet") -> DataFrame:
+        """``df`` with the value of each row as ``into``; a missing reference is an error unless reference-free."""
+        if self.make is None:
+            raise RuntimeError(f"{self.checkpoint_name} needs its weights; give a maker for it")
+        if not self.reference_free and (ref not in df.columns or not df.filter(F.col(ref).isNull()).isEmpty()):
+            raise ValueError("a metric with references needs one in every row")
+        make, size, names = self.make, self.batch_size, ["src", "mt"] if self.reference_free else ["src", "mt", "ref"]
+
+        def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            model = make()
+            for columns in batches:
+                records = [dict(zip(names, r, strict=True)) for r in zip(*columns, strict=True)]
+                out: list[float] = []
+                for at in range(0, len(records), size):
+                    got = model(records[at : at + size])
+                    if len(got) != len(records[at : at + size]):
+                        raise RuntimeError(f"the metric gave {len(got)} values for {len(records[at : at + size])} records")
+                    out += [float(x) for x in got]
+                yield pd.Series(out, dtype="float64")
+
+        run.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
+        return df.withColumn(into, F.pandas_udf(run, "double").asNondeterministic()(*([src, hyp] if self.reference_free else [src, hyp, ref])))
 
 
 def create(name: str, **options) -> Translator:
@@ -133,7 +207,7 @@ def round_trip(segments: DataFrame, forward: Translator, backward: Translator |
 
     Odd steps go to the target language and are scored against the reference, even ones back and against the
     origin; findings compare with the origin, hop findings with the step's input. Each step is checkpointed, as its
-    translations must not run again. Less than one cycle is an error; no segments give no rows.
+    translations must not run again. Less than one cycle and no segments are errors.
     """
     if cycles < 1:
         raise ValueError("at least one cycle")

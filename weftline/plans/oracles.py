@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from weftline.functions.detect import NEGATION, SIDES, TERM_ENDING
 from weftline.functions.metrics import CHRF_CHARS, CHRF_WORDS
 from weftline.functions.text import SINGLE_PROMPT
+from weftline.operators.stats import POISSON
 from weftline.plans.corpora import REPORTS_SQL
 from weftline.schema import LANGUAGE_ALIASES, LANGUAGE_NAMES
 
@@ -95,16 +97,29 @@ def _clipped(pairs: str, n: int, a: str, b: str, gram: str) -> str:
 _DISTINCT = f"{_R}, d AS (SELECT model, domain, hyp_text, ref_text, count(*) AS w, row_number() OVER () AS p FROM r GROUP BY model, domain, hyp_text, ref_text)"
 
 
-def _bleu_stats() -> str:
+# evaluations with text and the non-empty reference of their segment, each pair of texts once
+_REFERENCED = f"""WITH {_SEGMENTS}, {_EVALS}, d AS (SELECT e.model, '' AS domain, hyp_text, ref_text, count(*) AS w, row_number() OVER () AS p
+  FROM evs e JOIN segs s ON e.id = s.id WHERE hyp_text IS NOT NULL AND ref_text <> '' GROUP BY ALL)"""
+
+
+def _tokens_whole(x: str) -> str:
+    """All rules of the tokens, on texts of more than one line."""
+    x = f"replace(replace(replace({x}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    for entity, char in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return f"list_filter(regexp_split_to_array(regexp_replace({_13A.format(x)}, '([0-9])(-)', '\\1 \\2 ', 'g'), '{_WS}+'), lambda t: t <> '')"
+
+
+def _bleu_stats(rows: str = _DISTINCT, tokens=_tokens) -> str:
     gram = "array_to_string({x}[i:i + {n} - 1], chr(1))"
     joins = " ".join(f"LEFT JOIN ({_clipped('tk', n, 'ht', 'rt', gram)}) g{n} ON tk.p = g{n}.p" for n in range(1, 5))
     counts = ", ".join([f"coalesce(g{n}.m, 0) AS c{n}, greatest(0, len(ht) - {n - 1}) AS t{n}" for n in range(1, 5)])
-    return f"{_DISTINCT}, tk AS (SELECT *, {_tokens('hyp_text')} AS ht, {_tokens('ref_text')} AS rt FROM d), st AS (SELECT tk.model, tk.domain, w, len(ht) AS h, len(rt) AS r, {counts} FROM tk {joins})"
+    return f"{rows}, tk AS (SELECT *, {tokens('hyp_text')} AS ht, {tokens('ref_text')} AS rt FROM d), st AS (SELECT tk.model, tk.domain, w, len(ht) AS h, len(rt) AS r, {counts} FROM tk {joins})"
 
 
-def _chrf() -> str:
-    words = "list_filter(list_concat([], flatten(list_transform(string_split({x}, ' '), lambda w: CASE WHEN length(w) > 1 AND regexp_matches(w, '[[:punct:]]$') THEN [w[:-2], w[-1]] WHEN length(w) > 1 AND regexp_matches(w, '^[[:punct:]]') THEN [w[1], w[2:]] ELSE [w] END))), lambda w: w <> '')"
-    tk = f"tk AS (SELECT *, replace(hyp_text, ' ', '') AS hc, replace(ref_text, ' ', '') AS rc, {words.format(x='hyp_text')} AS hw, {words.format(x='ref_text')} AS rw FROM d)"
+def _chrf(rows: str = _DISTINCT, by: str = "model, domain", shown: str = "h0::BIGINT AS hyp_1, m5::BIGINT AS match_6, m7::BIGINT AS match_words_2") -> str:
+    words = "list_filter(list_concat([], flatten(list_transform(regexp_split_to_array({x}, '" + _WS.replace("{", "{{").replace("}", "}}") + "+'), lambda w: CASE WHEN length(w) > 1 AND regexp_matches(w, '[[:punct:]]$') THEN [w[:-2], w[-1]] WHEN length(w) > 1 AND regexp_matches(w, '^[[:punct:]]') THEN [w[1], w[2:]] ELSE [w] END))), lambda w: w <> '')"
+    tk = f"tk AS (SELECT *, regexp_replace(hyp_text, '{_WS}', '', 'g') AS hc, regexp_replace(ref_text, '{_WS}', '', 'g') AS rc, {words.format(x='hyp_text')} AS hw, {words.format(x='ref_text')} AS rw FROM d)"
     joins, columns, sums, form = [], [], [], []
     orders = [("hc", "rc", n, "substr({x}, i, {n})", "length") for n in range(1, CHRF_CHARS + 1)] + [("hw", "rw", n, "array_to_string({x}[i:i + {n} - 1], chr(1))", "len") for n in range(1, CHRF_WORDS + 1)]
     for k, (a, b, n, gram, size) in enumerate(orders):
@@ -117,9 +132,9 @@ def _chrf() -> str:
     o = "(" + " + ".join(f"CASE WHEN h{k} > 0 AND r{k} > 0 THEN 1 ELSE 0 END" for k in form) + ")"
     score = f"100 * 5 * ({p} / {o}) * ({q} / {o}) / (4 * ({p} / {o}) + ({q} / {o}))"
     return (
-        f"{_DISTINCT}, {tk}, st AS (SELECT tk.model, tk.domain, w, {', '.join(columns)} FROM tk {' '.join(joins)}),"
-        f" s AS (SELECT model, domain, {', '.join(sums)} FROM st GROUP BY model, domain)"
-        f" SELECT model, domain, h0::BIGINT AS hyp_1, m5::BIGINT AS match_6, m7::BIGINT AS match_words_2, round({score}, 4) AS chrf FROM s"
+        f"{rows}, {tk}, st AS (SELECT tk.model, tk.domain, w, {', '.join(columns)} FROM tk {' '.join(joins)}),"
+        f" s AS (SELECT {by}, sum(w)::BIGINT AS n, {', '.join(sums)} FROM st GROUP BY {by})"
+        f" SELECT {by}, {shown}, round({score}, 4) AS chrf FROM s"
     )
 
 
@@ -135,15 +150,52 @@ _TWO = f"""{_EVALS}, two AS (SELECT a.id, crit_a, crit_b, chrf_a, chrf_b FROM
 
 
 def _draws(rows: str, columns: str) -> str:
-    return f"""pos AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS position, count(*) OVER () AS n FROM {rows}),
-  dr AS (SELECT b.range AS resample, ('0x' || substr(md5('13|' || b.range || '|' || i.position), 1, 8))::BIGINT % i.n AS position FROM range(200) b, pos i),
-  rs AS (SELECT resample, {columns} FROM dr JOIN pos USING (position) GROUP BY resample)"""
+    """Weighted sums of 2,000 resamples; a row's weight is a Poisson number read off a hash."""
+    weight = " + ".join(f"CASE WHEN u >= {x} THEN 1 ELSE 0 END" for x in POISSON)
+    return f"""hs AS (SELECT i.*, b.range AS block, md5('13|' || b.range || '|' || id) AS h FROM range(500) b, {rows} i),
+  us AS (SELECT hs.*, block * 4 + j.range AS resample, ('0x' || substr(h, 1 + 8 * j.range, 8))::BIGINT AS u FROM hs, range(4) j),
+  dr AS (SELECT *, ({weight})::DOUBLE AS weight FROM us), rs AS (SELECT resample, {columns} FROM dr WHERE weight > 0 GROUP BY resample)"""
+
+
+def _has(x: str, pattern: str) -> str:
+    pattern = pattern.replace(r"\s", _WS)
+    return f"regexp_matches(coalesce({x}, ''), {_lit(rf'(?i)(^|[^\p{{L}}\p{{N}}_])(?:{pattern})($|[^\p{{L}}\p{{N}}_])')})"
+
+
+def _by_language(lang: str, of) -> str:
+    return "CASE " + " ".join(f"WHEN {lang} = '{code}' THEN {of(code)}" for code in NEGATION) + " END"
+
+
+_PAIRS = f"""WITH {_SEGMENTS}, {_EVALS}, p AS (SELECT e.model, e.src_lang AS a, e.tgt_lang AS b, s.src_text AS x, e.hyp_text AS y FROM evs e JOIN segs s ON e.id = s.id WHERE hyp_text IS NOT NULL)"""
+
+
+def _negation() -> str:
+    cue = lambda x, lang: _by_language(lang, lambda c: _has(x, NEGATION[c]))
+    return f"""{_PAIRS}, f AS (SELECT model, {cue('x', 'a')} AS s, {cue('y', 'b')} AS t FROM p) SELECT model, CASE WHEN s THEN 'negation_dropped' ELSE 'negation_introduced' END AS code,
+  'critical' AS severity, count(*)::BIGINT AS n FROM f WHERE s <> t GROUP BY ALL"""
+
+
+def _laterality() -> str:
+    side = lambda x, lang, n: _by_language(lang, lambda c: f"({_has(x, SIDES[c][n])} OR {_has(x, SIDES[c]['bilateral'])})")
+    flags = ", ".join(f"{side(x, lang, n)} AS {x}_{n}" for x, lang in (("x", "a"), ("y", "b")) for n in ("left", "right"))
+    return f"""{_PAIRS}, f AS (SELECT model, {flags} FROM p), c AS (
+  SELECT model, 'laterality_missing_or_flipped' AS code FROM f WHERE (x_left AND NOT y_left) OR (x_right AND NOT y_right)
+  UNION ALL SELECT model, 'laterality_added_or_flipped' FROM f WHERE (y_left AND NOT x_left) OR (y_right AND NOT x_right)) SELECT model, code, 'critical' AS severity, count(*)::BIGINT AS n FROM c GROUP BY ALL"""
+
+
+def _terminology() -> str:
+    words = lambda c: f"array_to_string(list_transform(regexp_split_to_array(trim({c}), '{_WS}+'), lambda w: regexp_escape(w)), '{_WS}+')"
+    form = lambda c: f"'(?i)(^|[^\\p{{L}}\\p{{N}}_])' || {words(c)} || '{TERM_ENDING}($|[^\\p{{L}}\\p{{N}}_])'"
+    return f"""{_PAIRS}, bank AS (SELECT DISTINCT concept_id, en, de, {form('en')} AS en_form, {form('de')} AS de_form FROM term_bank WHERE en <> '' AND de <> ''),
+  h AS (SELECT p.*, k.* FROM p JOIN bank k ON (a = 'en' AND b = 'de' AND contains(lower(x), split_part(lower(trim(en)), ' ', 1))) OR (a = 'de' AND b = 'en' AND contains(lower(x), split_part(lower(trim(de)), ' ', 1))))
+  SELECT model, 'terminology_not_preserved' AS code, 'major' AS severity, count(*)::BIGINT AS n FROM h
+  WHERE regexp_matches(x, CASE WHEN a = 'en' THEN en_form ELSE de_form END) AND NOT regexp_matches(y, CASE WHEN b = 'en' THEN en_form ELSE de_form END) GROUP BY model"""
 
 
 _CLEAN = f"""length({_strip('src_text')}) >= 3 AND length({_strip('ref_text')}) >= 3 AND lower({_strip('src_text')}) <> lower({_strip('ref_text')})
   AND least(length(src_text), length(ref_text)) > 0 AND greatest(length(src_text), length(ref_text)) <= 3.0 * least(length(src_text), length(ref_text))"""
 _SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(text, '([^\\t-\\r \\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}A-ZÇĞİÖŞÜ0-9])([.!?]){_WS}+', '\\1\\2' || chr(1), 'g'), chr(1)), lambda s: {_strip('s')}), lambda s: s <> '')"
-_STEPS = "st AS (SELECT l_returnflag AS model, l_linenumber AS step, (l_linenumber + 1) // 2 AS cycle, round(avg(l_quantity), 6) AS bleu, avg(l_extendedprice) AS chars FROM lineitem GROUP BY ALL)"
+_STEPS = f"{_EVALS}, st AS (SELECT model, month(scored_at)::INT AS step, (month(scored_at) + 1) // 2 AS cycle, round(avg({_METRIC.format('bleu')}), 6) AS bleu, avg(length(hyp_text)) AS chars FROM evs WHERE scored_at IS NOT NULL AND hyp_text IS NOT NULL GROUP BY ALL)"
 
 
 def _reports_of(lang: str, names: tuple[str, ...]) -> str:
@@ -192,20 +244,33 @@ def oracle_sql() -> dict[str, str]:
   SELECT id, n_chars FROM o WHERE n <= 100 OR position IN (SELECT floor(range * (n / 100))::BIGINT FROM range(100))""",
         "sentence_split": f"WITH s AS (SELECT doc_id, {_SENTENCES} AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(s)::INT AS n_sentences, length(coalesce(array_to_string(s, ''), ''))::INT AS n_chars FROM s",
         "chunk_reassemble": f"WITH s AS (SELECT doc_id, {_SENTENCES} AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(coalesce(array_to_string(s, ' '), '')) AS digest FROM s",
-        "align_unmatched": """WITH a AS (SELECT DISTINCT id FROM segments), b AS (SELECT DISTINCT id FROM evaluations), u AS (
+        "align_unmatched": """WITH a AS (SELECT DISTINCT id FROM evaluations WHERE model = 'aster-600m'), b AS (SELECT DISTINCT id FROM evaluations WHERE model = 'kelp-api'), u AS (
   SELECT 'left' AS side FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.id = a.id) UNION ALL SELECT 'right' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.id = b.id)) SELECT side, count(*)::BIGINT AS n FROM u GROUP BY side""",
         "mcnemar_systems": f"""WITH {_TWO}, m AS (SELECT count(*) FILTER (crit_a AND NOT crit_b)::BIGINT AS b, count(*) FILTER (NOT crit_a AND crit_b)::BIGINT AS c FROM two)
   SELECT b AS baseline_only, c AS candidate_only, round({_tail('b', 'c')}, 9) AS p_value FROM m""",
-        "bootstrap_critical_rate": f"""WITH {_TWO}, {_draws('two', 'avg(CASE WHEN crit_a THEN 1.0 ELSE 0.0 END) AS d')} SELECT (SELECT round(avg(CASE WHEN crit_a THEN 1.0 ELSE 0.0 END), 9) FROM two) AS observed,
+        "bootstrap_critical_rate": f"""WITH {_TWO}, {_draws('two', 'sum(CASE WHEN crit_a THEN weight ELSE 0.0 END) / sum(weight) AS d')} SELECT (SELECT round(avg(CASE WHEN crit_a THEN 1.0 ELSE 0.0 END), 9) FROM two) AS observed,
   round(quantile_cont(d, 0.025), 9) AS ci_low, round(quantile_cont(d, 0.975), 9) AS ci_high FROM rs""",
-        "paired_bootstrap_chrf": f"""WITH {_TWO}, has AS (SELECT * FROM two WHERE chrf_a IS NOT NULL AND chrf_b IS NOT NULL), {_draws('has', 'sum(chrf_b) / count(*) - sum(chrf_a) / count(*) AS d')}
+        "paired_bootstrap_mean": f"""WITH {_TWO}, has AS (SELECT * FROM two WHERE chrf_a IS NOT NULL AND chrf_b IS NOT NULL), {_draws('has', 'sum(weight * chrf_b) / sum(weight) - sum(weight * chrf_a) / sum(weight) AS d')}
   SELECT (SELECT round(sum(chrf_b) / count(*) - sum(chrf_a) / count(*), 6) FROM has) AS observed_difference, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high,
   round(least(1.0, 2 * least(avg(CASE WHEN d <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN d >= 0 THEN 1.0 ELSE 0.0 END))), 6) AS p_value FROM rs""",
+        "run_summaries": f"""WITH {_SEGMENTS}, {_EVALS}, r AS (SELECT e.*, s.ref_text FROM evs e JOIN segs s ON e.id = s.id)
+  SELECT model, count(*)::BIGINT AS n_segments, min(CASE WHEN ref_text <> '' THEN 1 ELSE 0 END)::INT AS has_references,
+  sum(CASE WHEN len(list_filter(findings, lambda f: f.severity = 'critical')) > 0 THEN 1 ELSE 0 END)::BIGINT AS critical_error_segments,
+  round(avg(CASE WHEN len(list_filter(findings, lambda f: f.severity = 'critical')) > 0 THEN 1 ELSE 0 END), 6) AS critical_error_rate, sum(coalesce(len(findings), 0))::BIGINT AS findings,
+  sum(coalesce(len(list_filter(findings, lambda f: f.code = 'number_or_measurement_mismatch')), 0))::BIGINT AS number_findings,
+  sum(coalesce(len(list_filter(findings, lambda f: f.severity = 'critical')), 0))::BIGINT AS critical_findings,
+  round(avg(CASE WHEN len(list_filter(findings, lambda f: f.code = 'negation_dropped')) > 0 THEN 1 ELSE 0 END), 6) AS negation_dropped_rate,
+  round(avg({_METRIC.format('comet')}), 6) AS comet FROM r GROUP BY model""",
+        "corpus_bleu_evaluations": f"{_bleu_stats(_REFERENCED, _tokens_whole)}, s AS (SELECT model, sum(w)::BIGINT AS n, {bleu_sums} FROM st GROUP BY model) SELECT model, n, h AS s0, r AS s1, c1 AS s2, c4 AS s5, round({_bleu_formula('')}, 4) AS bleu FROM s",
+        "corpus_chrf_evaluations": _chrf(_REFERENCED, "model", "n, h0::BIGINT AS s0, m5::BIGINT AS s17, m7::BIGINT AS s23"),
+        "evaluation_negation": _negation(),
+        "evaluation_laterality": _laterality(),
+        "evaluation_terminology": _terminology(),
         "evaluation_steps": f"""WITH {_EVALS} SELECT weekofyear(scored_at)::INT AS step, count(*)::BIGINT AS n_segments, round(avg(CASE WHEN has_critical_error THEN 1 ELSE 0 END), 6) AS critical_error_rate,
   {', '.join(f"round(avg({_METRIC.format(m)}), 6) AS {m}" for m in ('bleu', 'chrf', 'ter'))}, round(avg(length(hyp_text)), 6) AS mean_output_chars FROM evs WHERE scored_at IS NOT NULL AND hyp_text IS NOT NULL GROUP BY 1""",
-        "curve_delta": f"""WITH {_STEPS}, c AS (SELECT model, max(bleu) FILTER (cycle = 1) AS c1, max(bleu) FILTER (cycle = 2) AS c2, max(bleu) FILTER (cycle = 4) AS c_last FROM st WHERE step % 2 = 1 GROUP BY model)
+        "curve_delta": f"""WITH {_STEPS}, c AS (SELECT model, max(bleu) FILTER (cycle = 1) AS c1, max(bleu) FILTER (cycle = 2) AS c2, max(bleu) FILTER (cycle = 6) AS c_last FROM st WHERE step % 2 = 1 GROUP BY model)
   SELECT model, c1, c2, c_last, round(c_last - c1, 5) AS delta, CASE WHEN c1 <> c_last THEN round((c1 - c2) / (c1 - c_last), 4) END AS front_loaded FROM c""",
-        "curve_pivot": f"WITH {_STEPS} SELECT model, {', '.join(f'max(bleu) FILTER (step = {i}) AS step_{i}' for i in range(1, 8))} FROM st GROUP BY model",
+        "curve_pivot": f"WITH {_STEPS} SELECT model, {', '.join(f'max(bleu) FILTER (step = {i}) AS step_{i}' for i in range(1, 13))} FROM st GROUP BY model",
         "system_ranking": f"""WITH {_STEPS}, f AS (SELECT model, bleu, row_number() OVER (ORDER BY bleu DESC, model)::INT AS place FROM st WHERE step = 1),
   s AS (SELECT model, CASE WHEN arg_max(chars, step) < 0.95 * arg_min(chars, step) THEN 1 ELSE 0 END AS shrinks FROM st GROUP BY model) SELECT f.model, bleu, place, shrinks FROM f JOIN s ON f.model = s.model""",
         "lag_hop_input": f"""WITH {_SEGMENTS}, {_EVALS} SELECT eval_id, length(coalesce(lag(hyp_text) OVER (PARTITION BY e.id ORDER BY eval_id), src_text))::INT AS input_chars

@@ -99,6 +99,43 @@ def leaderboard_surface(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.leaderboard(rows, F.try_element_at("metrics", F.lit("comet")))
 
 
+def run_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Run summary of each system over all its evaluations from their own findings; references by segment."""
+    refs = corpora.segments(spark, d).select("id", F.nullif("ref_text", F.lit("")).alias("ref_text"))
+    out = aggregate.run_summary(corpora.evaluations(spark, d).select("id", "model", "findings", "metrics").join(refs, "id"), ["model"])
+    total = lambda c: F.aggregate(F.map_values(c), F.lit(0).cast("bigint"), lambda s, n: s + n)
+    pick = lambda c, k: F.coalesce(F.try_element_at(c, F.lit(k)), F.lit(0))
+    return out.select(
+        "model",
+        "n_segments",
+        F.col("has_references").cast("int").alias("has_references"),
+        "critical_error_segments",
+        F.round("critical_error_rate", 6).alias("critical_error_rate"),
+        total("finding_counts").alias("findings"),
+        pick("finding_counts", "number_or_measurement_mismatch").alias("number_findings"),
+        pick("severity_counts", "critical").alias("critical_findings"),
+        F.round(pick("error_segment_rates", "negation_dropped").cast("double"), 6).alias("negation_dropped_rate"),
+        F.round("comet", 6).alias("comet"),
+    )
+
+
+def _surface(spark: SparkSession, d: str, name: str, *shown: int) -> DataFrame:
+    size, counts, form = metrics.COUNTERS[name]
+    rows = corpora.referenced(spark, d).select("model", counts("hyp_text", "ref_text").alias("s"))
+    sums = rows.groupBy("model").agg(F.count("*").alias("n"), metrics.sum_stats("s", size).alias("s"))
+    return sums.select("model", "n", *(F.col("s")[i].alias(f"s{i}") for i in shown), F.round(form(F.col("s")), 4).alias(name))
+
+
+def corpus_bleu_evaluations(spark: SparkSession, d: str) -> DataFrame:
+    """Corpus BLEU of all evaluations with a reference, by system."""
+    return _surface(spark, d, "bleu", 0, 1, 2, 5)
+
+
+def corpus_chrf_evaluations(spark: SparkSession, d: str) -> DataFrame:
+    """Corpus chrF++ of all evaluations with a reference, by system."""
+    return _surface(spark, d, "chrf", 0, 17, 23)
+
+
 def corpus_bleu_by_group(spark: SparkSession, d: str) -> DataFrame:
     """Corpus BLEU of the derived reports by system and domain."""
     rows = corpora.reports(spark, d).withColumn("s", metrics.bleu_stats("hyp_text", "ref_text"))
@@ -133,6 +170,27 @@ def evaluation_findings(spark: SparkSession, d: str) -> DataFrame:
     return _codes(detect.with_findings(rows.join(corpora.segments(spark, d).select("id", "src_text"), "id"), bank=bank, into="f"))
 
 
+def _of_evaluations(spark: SparkSession, d: str, detector: str) -> DataFrame:
+    rows = corpora.evaluations(spark, d).select("id", "model", "src_lang", "tgt_lang", "hyp_text").filter("hyp_text IS NOT NULL")
+    bank = readers.term_bank(table(spark, d, "term_bank")) if detector == "terminology" else None
+    return _codes(detect.with_findings(rows.join(corpora.segments(spark, d).select("id", "src_text"), "id"), bank=bank, into="f", detectors=(detector,)))
+
+
+def evaluation_negation(spark: SparkSession, d: str) -> DataFrame:
+    """Negation findings of all evaluations with a text, by system and code."""
+    return _of_evaluations(spark, d, "negation")
+
+
+def evaluation_laterality(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of sides of all evaluations with a text, by system and code."""
+    return _of_evaluations(spark, d, "laterality")
+
+
+def evaluation_terminology(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of terms of all evaluations with a text and the term bank, by system."""
+    return _of_evaluations(spark, d, "terminology")
+
+
 def length_ratio_filter(spark: SparkSession, d: str) -> DataFrame:
     """Segments that pass the filters of degenerate pairs and length outliers, by source."""
     kept = corpus.clean_pairs(corpora.segments(spark, d), "src_text", "ref_text")
@@ -181,8 +239,9 @@ def chunk_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def align_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    """Ids that only segments or only evaluations hold, by side."""
-    sides = corpus.unmatched(table(spark, d, "segments").select("id"), table(spark, d, "evaluations").select("id"), "id")
+    """Segments that only one of two systems has translated, by side."""
+    rows = table(spark, d, "evaluations")
+    sides = corpus.unmatched(rows.filter("model = 'aster-600m'").select("id"), rows.filter("model = 'kelp-api'").select("id"), "id")
     return sides.groupBy("side").agg(F.count("*").alias("n"))
 
 
@@ -200,23 +259,33 @@ def mcnemar_systems(spark: SparkSession, d: str) -> DataFrame:
 
 def bootstrap_critical_rate(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrap interval of the critical rate of one system."""
-    out = stats.bootstrap_proportion(_two(spark, d), "id", "crit_a", 200)
+    out = stats.bootstrap_proportion(_two(spark, d), "id", "crit_a")
     return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
 
 
-def paired_bootstrap_chrf(spark: SparkSession, d: str) -> DataFrame:
-    """Paired bootstrap of the mean sentence chrF of two systems."""
+def paired_bootstrap_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Paired bootstrap of the mean of the recorded sentence chrF of two systems."""
     rows = _two(spark, d).filter("chrf_a IS NOT NULL AND chrf_b IS NOT NULL")
     rows = rows.select("id", F.array("chrf_a", F.lit(1.0)).alias("a"), F.array("chrf_b", F.lit(1.0)).alias("b"))
-    out = stats.paired_bootstrap(rows, "id", "a", "b", 2, lambda s: s[0] / s[1], 200)
+    out = stats.paired_bootstrap(rows, "id", "a", "b", 2, lambda s: s[0] / s[1])
     return out.select(*(F.round(c, 6).alias(c) for c in ("observed_difference", "ci_low", "ci_high", "p_value")))
 
 
+def _paired_bootstrap(spark: SparkSession, d: str, name: str) -> DataFrame:
+    size, counts, form = metrics.COUNTERS[name]
+    rows = corpora.referenced(spark, d).filter("model IN ('aster-600m', 'kelp-api')").select("id", "model", counts("hyp_text", "ref_text").alias("s"))
+    sides = rows.groupBy("id").agg(*(F.min(F.when(F.col("model") == m, F.col("s"))).alias(n) for n, m in (("a", "aster-600m"), ("b", "kelp-api"))))
+    return stats.paired_bootstrap(sides.filter("a IS NOT NULL AND b IS NOT NULL"), "id", "a", "b", size, form)
+
+
 def paired_bootstrap_bleu(spark: SparkSession, d: str) -> DataFrame:
     """Paired bootstrap of corpus BLEU of two systems."""
-    rows = corpora.referenced(spark, d).filter("model IN ('aster-600m', 'kelp-api')").withColumn("s", metrics.bleu_stats("hyp_text", "ref_text"))
-    sides = [rows.filter(F.col("model") == m).groupBy("id").agg(F.min("s").alias(n)) for n, m in (("a", "aster-600m"), ("b", "kelp-api"))]
-    return stats.paired_bootstrap(sides[0].join(sides[1], "id"), "id", "a", "b", metrics.BLEU_SIZE, metrics.bleu)
+    return _paired_bootstrap(spark, d, "bleu")
+
+
+def paired_bootstrap_chrf(spark: SparkSession, d: str) -> DataFrame:
+    """Paired bootstrap of corpus chrF++ of two systems."""
+    return _paired_bootstrap(spark, d, "chrf")
 
 
 def roundtrip_step_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -229,9 +298,9 @@ def roundtrip_step_summary(spark: SparkSession, d: str) -> DataFrame:
     if not pairs:
         raise ValueError("no segments")
     trips = [translate.round_trip(rows.filter((F.col("src_lang") == a) & (F.col("tgt_lang") == b)), translate.create("identity"), cycles=10) for a, b in pairs]
-    brief = [t.select(F.lit(i).alias("trip"), "step", "cycle", "direction", "hyp_text", "metrics", "findings", "has_critical_error") for i, t in enumerate(trips)]
-    steps = aggregate.step_summary(reduce(DataFrame.unionByName, brief), ["trip"])
-    return steps.select("step", "cycle", "direction", "n_segments", "critical_error_rate", "bleu", "chrf", "ter", "mean_output_chars")
+    brief = [t.select(F.lit(i).alias("trip"), "model", "step", "cycle", "direction", "hyp_text", "metrics", "findings", "has_critical_error", "hop_has_critical_error") for i, t in enumerate(trips)]
+    curve = aggregate.step_curve(reduce(DataFrame.unionByName, brief), ["trip", "model"])
+    return curve.withColumnsRenamed({"n": "n_segments", "crit_rate": "critical_error_rate", "mean_chars": "mean_output_chars"}).drop("trip")
 
 
 def evaluation_steps(spark: SparkSession, d: str) -> DataFrame:
@@ -243,20 +312,22 @@ def evaluation_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _steps(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("step"))
-    return rows.agg(F.round(F.avg("l_quantity"), 6).alias("bleu"), F.avg("l_extendedprice").alias("mean_output_chars")).withColumn("cycle", F.expr("(step + 1) DIV 2"))
+    """Evaluations by system and month of scoring in the form of a step table."""
+    metric = F.try_element_at("metrics", F.lit("bleu"))
+    rows = corpora.evaluations(spark, d).filter("scored_at IS NOT NULL AND hyp_text IS NOT NULL").groupBy("model", F.month("scored_at").alias("step"))
+    return rows.agg(F.round(F.avg(metric), 6).alias("bleu"), F.avg(F.length("hyp_text")).alias("mean_output_chars")).withColumn("cycle", F.expr("(step + 1) DIV 2"))
 
 
 def curve_delta(spark: SparkSession, d: str) -> DataFrame:
-    """Change and front-loaded share of a curve, over a step table made from lineitem."""
-    out = aggregate.curve_summary(_steps(spark, d), last_cycle=4)
+    """Change and front-loaded share of each system's curve over the months of scoring."""
+    out = aggregate.curve_summary(_steps(spark, d), last_cycle=6)
     return out.select("model", "c1", "c2", "c_last", F.round("delta", 5).alias("delta"), F.round("front_loaded", 4).alias("front_loaded"))
 
 
 def curve_pivot(spark: SparkSession, d: str) -> DataFrame:
     """A system per row, a step per column."""
-    out = aggregate.wide_curve(_steps(spark, d), "bleu", [1, 2, 3, 4, 5, 6, 7])
-    return out.select("model", *(F.col(str(i)).alias(f"step_{i}") for i in range(1, 8)))
+    out = aggregate.wide_curve(_steps(spark, d), "bleu", list(range(1, 13)))
+    return out.select("model", *(F.col(str(i)).alias(f"step_{i}") for i in range(1, 13)))
 
 
 def system_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -344,9 +415,9 @@ def white_space(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     critical_error_rate_by_system, negation_findings, laterality_findings, number_mismatch_findings, terminology_findings, finding_counts, error_segment_rates, severity_counts,
-    detector_coverage, leaderboard_rates, leaderboard_evaluations, leaderboard_surface, corpus_bleu_by_group, sentence_bleu, corpus_chrf_by_group, corpus_ter_by_group,
-    evaluation_findings, length_ratio_filter, length_ratio, dedup_first, hash_sample, stratified_sample, sentence_split, chunk_reassemble, chunk_sizes, align_unmatched,
-    mcnemar_systems, bootstrap_critical_rate, paired_bootstrap_chrf, paired_bootstrap_bleu, roundtrip_step_summary, evaluation_steps, curve_delta, curve_pivot, system_ranking,
+    detector_coverage, leaderboard_rates, leaderboard_evaluations, leaderboard_surface, run_summaries, corpus_bleu_evaluations, corpus_chrf_evaluations, corpus_bleu_by_group, sentence_bleu, corpus_chrf_by_group, corpus_ter_by_group,
+    evaluation_findings, evaluation_negation, evaluation_laterality, evaluation_terminology, length_ratio_filter, length_ratio, dedup_first, hash_sample, stratified_sample, sentence_split, chunk_reassemble, chunk_sizes, align_unmatched,
+    mcnemar_systems, bootstrap_critical_rate, paired_bootstrap_mean, paired_bootstrap_chrf, paired_bootstrap_bleu, roundtrip_step_summary, evaluation_steps, curve_delta, curve_pivot, system_ranking,
     lag_hop_input, alias_resolve, parrot_filter, area_fold, sgml_segment_parse, strip_thinking, same_model, batch_parse, text_prompts, resume_rest, white_space,
 )
 

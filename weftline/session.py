@@ -15,6 +15,7 @@ LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -30,6 +31,13 @@ def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "8g") ->
     )
 
 
+def session() -> SparkSession:
+    """The submitter's session, or a local one on all cores where no master is set."""
+    if SparkSession.getActiveSession() is not None or os.environ.get("MASTER") or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "") or os.environ.get("SPARK_ENV_LOADED"):
+        return SparkSession.builder.appName("weftline").getOrCreate()
+    return local_session("*")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that all executors share.
 

@@ -164,9 +164,10 @@ def term_bank(bank: DataFrame) -> list[tuple[str, str, str]]:
 
 
 def run_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Round-trip rows of a folder; the model is the file name between rt_ and .jsonl."""
+    """Round-trip rows of a folder; the model is the file name between rt_ and .jsonl. Combined files are left out."""
     rows = spark.read.json(os.path.join(folder, "rt_*.jsonl"))
-    return rows.withColumn("model", F.regexp_extract(F.input_file_name(), r"rt_([^/]*)\.jsonl$", 1))
+    name = F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1)
+    return rows.filter(~F.contains(name, F.lit("combined"))).withColumn("model", F.regexp_extract(name, r"^rt_(.*)\.jsonl$", 1))
 
 
 def curve_table(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.aggregate import LEADERBOARD_COLUMNS
+from weftline.operators.aggregate import LEADERBOARD_COLUMNS, curve_as_text, figure_data
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -17,22 +17,51 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_rows(df: DataFrame, path: str, parquet: str | None = None) -> None:
-    """JSON lines always, Parquet too where a path is given; the rows are made once."""
-    kept = df.persist() if parquet else df
-    write_jsonl(kept, path)
+    """JSON lines always, Parquet too where a path is given; the rows are then made once, and read back as Parquet."""
     if parquet:
-        kept.write.mode("overwrite").parquet(parquet)
-        kept.unpersist()
+        df.write.mode("overwrite").parquet(parquet)
+        df = df.sparkSession.read.schema(df.schema).parquet(parquet)
+    write_jsonl(df, path)
 
 
-def write_summary(summary: DataFrame, path: str) -> dict:
-    """The one row of a summary as indented JSON with sorted keys."""
-    row = json.loads(summary.select(F.to_json(F.struct("*")).alias("j")).first().j)
+def _save(value: dict, path: str) -> dict:
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path, "w", encoding="utf-8") as out:
-        json.dump(row, out, indent=2, sort_keys=True, ensure_ascii=False)
+        json.dump(value, out, indent=2, sort_keys=True, ensure_ascii=False)
         out.write("\n")
-    return row
+    return value
+
+
+def write_summary(summary: DataFrame, path: str) -> dict:
+    """The one row of a run summary as indented JSON with sorted keys; surface and neural parts only where there are."""
+    row = json.loads(summary.select(F.to_json(F.struct("*")).alias("j")).first().j)
+    clinical = ["critical_error_segments", "critical_error_rate", "error_segment_rates", "finding_counts", "severity_counts"]
+    out = {"clinical": {n: row[n] for n in clinical}, **{n: row.get(n) for n in ("model", "n_segments", "has_references")}}
+    if row.get("surface"):
+        out["surface"] = {**row["surface"], "signatures": row["signatures"]}
+    if row.get("comet") is not None:
+        out["neural"] = {"comet": row["comet"]}
+    return _save(out, path)
+
+
+def write_report(table: DataFrame, folder: str) -> dict[str, str]:
+    """A leaderboard as CSV and as a JSON table in ``folder``; the paths by name."""
+    paths = {"master_table": os.path.join(folder, "master_metrics.csv"), "master_json": os.path.join(folder, "master_metrics.json")}
+    write_leaderboard(table, paths["master_table"])
+    rows = table.select(*LEADERBOARD_COLUMNS).orderBy("model", "direction", "domain").collect()  # one per system and domain
+    _save({"table": [r.asDict() for r in rows]}, paths["master_json"])
+    return paths
+
+
+def write_curve(curve: DataFrame, folder: str, figures: bool = False) -> str:
+    """A step curve as CSV and Markdown in ``folder``, and the data of each figure as CSV where asked for."""
+    curve_as_text(curve).orderBy("model", F.col("step").cast("int")).coalesce(1).write.mode("overwrite").option("header", True).csv(os.path.join(folder, "roundtrip_steps.csv"))
+    text = "".join(f"## {name} by step\n\n{step_report(curve, name)}\n" for name in ("crit_rate", "hop_crit_rate", "bleu", "chrf", "ter"))
+    with open(os.path.join(folder, "ROUNDTRIP_RESULTS.md"), "w", encoding="utf-8") as out:
+        out.write(text)
+    for name, data in (figure_data(curve) if figures else {}).items():
+        data.coalesce(1).write.mode("overwrite").option("header", True).csv(os.path.join(folder, f"figure_{name}.csv"))
+    return text
 
 
 def write_leaderboard(table: DataFrame, path: str) -> None:
