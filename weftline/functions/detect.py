@@ -7,6 +7,8 @@ empty. Nothing leaves the JVM, so Catalyst sees through all of it.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -199,21 +201,31 @@ def term_pattern(term: str) -> str | None:
 def terminology(src: Column | str, hyp: Column | str, src_lang: Column, tgt_lang: Column, bank: list[tuple[str, str, str]], lower: Column | None = None) -> Column:
     """A major finding for each bank entry (concept, en, de) found in the source and not in the hypothesis.
 
-    The bank is a literal of the plan: a term bank of thousands of entries at most. A plain search for the term's
-    first word goes before each pattern.
+    The bank is one literal array, so the plan is as small for thousands of terms as for one. A plain search for the
+    term's first word goes before each pattern, so few patterns are tried on a text.
     """
-    parts = []
-    lower = F.lower(_text(src)) if lower is None else lower
+    entries = []
     for concept, en, de in bank:
         forms = {"en": en, "de": de}
         if not en or not de or not all(term_pattern(x) for x in forms.values()):
             continue
         for a, b in (("en", "de"), ("de", "en")):
-            hit = (src_lang == a) & (tgt_lang == b) & F.contains(lower, F.lit(forms[a].split()[0].lower())) & F.regexp_like(_text(src), F.lit(term_pattern(forms[a]))) & ~F.regexp_like(_text(hyp), F.lit(term_pattern(forms[b])))
-            details = F.to_json(F.struct(F.lit(concept).alias("concept_id"), F.lit(forms[b]).alias("expected_target_term")))
-            message = f"Term-bank concept {concept} was not found as its expected target term."
-            parts.append(F.when(hit, _finding("terminology_not_preserved", "major", "term_bank_exact_match", message, F.lit(forms[a]), F.lit(forms[b]), details)))
-    return F.array_compact(F.array(*parts)) if parts else _none()
+            entries.append({"c": concept, "a": a, "b": b, "s": forms[a], "t": forms[b], "w": forms[a].split()[0].lower(), "p": term_pattern(forms[a]), "q": term_pattern(forms[b])})
+    if not entries:
+        return _none()
+    terms = F.from_json(F.lit(json.dumps(entries)), "array<struct<c:string,a:string,b:string,s:string,t:string,w:string,p:string,q:string>>")
+    lower = F.lower(_text(src)) if lower is None else lower
+
+    def lost(t: Column) -> Column:
+        return (src_lang == t["a"]) & (tgt_lang == t["b"]) & F.contains(lower, t["w"]) & F.regexp_like(_text(src), t["p"]) & ~F.regexp_like(_text(hyp), t["q"])
+
+    def finding(t: Column) -> Column:
+        details = F.to_json(F.struct(t["c"].alias("concept_id"), t["t"].alias("expected_target_term")))
+        # Fixed value: the wording of the finding.
+        message = F.concat(F.lit("Term-bank concept "), t["c"], F.lit(" was not found as its expected target term."))
+        return _finding("terminology_not_preserved", "major", "term_bank_exact_match", message, t["s"], t["t"], details)
+
+    return F.transform(F.filter(terms, lost), finding)
 
 
 def findings(src: Column | str, hyp: Column | str, src_lang: Column, tgt_lang: Column, bank: list[tuple[str, str, str]] | None = None) -> Column:

@@ -154,13 +154,20 @@ def report_segments(records: DataFrame, src_lang: str = "de", tgt_lang: str = "e
     )
 
 
+#: Entries of a term bank at most, as each text is searched for each.
+MOST_TERMS = 20_000
+
+
 def term_bank(bank: DataFrame) -> list[tuple[str, str, str]]:
     """The filled distinct entries of a term bank, sorted: concept, en, de. A bank holds some thousands at most."""
     missing = {"concept_id", "en", "de"} - set(bank.columns)
     if missing:
         raise ValueError(f"a term bank needs {', '.join(sorted(missing))}")
     rows = bank.filter("en <> '' AND de <> ''").select("concept_id", "en", "de").distinct().orderBy("concept_id", "en", "de")
-    return [tuple(r) for r in rows.collect()]
+    found = [tuple(r) for r in rows.limit(MOST_TERMS + 1).collect()]
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"a term bank of more than {MOST_TERMS} entries")
+    return found
 
 
 def run_folder(spark: SparkSession, folder: str) -> DataFrame:
