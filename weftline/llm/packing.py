@@ -24,7 +24,7 @@ CAPACITY = 2048
 ITEMS_PER_PARTITION = 50_000
 #: Containers at least this full stay where they are when a partition exchanges the rest.
 FULL = 0.999
-MOST_ROUNDS = 4
+MOST_ROUNDS = 12
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -94,6 +94,10 @@ def split_items(counted: DataFrame, key: str, tokens: str, capacity: int) -> Dat
 def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = ITEMS_PER_PARTITION, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """Columns key, chunk, size, container, certified of items (key, chunk, size).
 
+    Rounds go on while partitions exchange items to a gain; what is left uncertified after them is within the gap that
+    ``fill_report`` shows against the bound of all tokens. The place of a chunk in its document is its number times
+    the capacity, in tokens (``with_offsets``).
+
     Items without size take no part, larger ones than the capacity are an error of the caller (see ``split_items``).
     Repeated items are items of their own. An empty table gives no row. The result repeats for the same items in any
     layout: partitions come from hashes and each sorts its items.
@@ -152,6 +156,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = ITEMS_
     return done.drop("stays")
 
 
+def with_offsets(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``packed`` with start and end of each chunk in tokens of its document, from which the document can be put together."""
+    start = F.col("chunk").cast("long") * capacity
+    return packed.withColumns({"start_token": start, "end_token": start + F.col("size")})
+
+
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: items, containers, tokens, the capacity bound of all tokens and the share of used space."""
     loads = packed.groupBy("container").agg(F.sum("size").alias("load"), F.count("*").alias("items"), F.bool_and("certified").alias("certified"))
