@@ -54,3 +54,10 @@ def test_slices_hold_every_row_once():
     texts = pa.array(["a" * n for n in (3, 0, 9, 1, 1, 1, 20, 0)] + [None]).slice(1)
     assert list(slices(texts, 10)) == [(0, 3), (3, 5), (5, 6), (6, 8)]
     assert list(slices(texts.slice(0, 0), 10)) == []
+
+
+def test_a_form_of_most_rows_is_made_in_parts(spark):
+    rows = [(f"k{i:03d}", "Erguss links" if i % 3 else "Erguss\u00a0links") for i in range(120)] + [("z", "anders")]
+    df = spark.createDataFrame(rows, "id string, t string")
+    whole, parts = ({tuple(r) for r in look_pairs(df, "id", "t", hot_rows=n).collect()} for n in (1000, 7))
+    assert whole == parts and len(whole) == 40 * 80

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.charforms import level_map
+from weftline.session import checkpoint
 
 _SIZE = 0x110000
 _S_BASE, _L_BASE, _V_BASE, _T_BASE = 0xAC00, 0x1100, 0x1161, 0x11A7
@@ -287,30 +288,48 @@ def fold_column(df: DataFrame, column: str, into: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def look_pairs(df: DataFrame, key: str, text: str, within: Column | None = None) -> DataFrame:
+#: Rows of one form beyond which its pairs are made in parts of so many.
+HOT_ROWS = 20_000
+
+
+def look_pairs(df: DataFrame, key: str, text: str, within: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pairs of keys whose texts look the same but are not the same string.
 
     ``df`` may deliver a row again; null texts and null keys take no part, an empty text looks only like one of
     invisible characters. ``within`` limits pairs to rows of equal value (null: no pair). Of the two texts of a
     pair at least one is not in the consistent form, so only those rows are joined with all rows; they meet under
-    128 bits of hash of the consistent form. A form that holds a large share of the rows is split over tasks by
-    a salt on the side of the odd rows, and what remains is left to adaptive skew joins.
+    128 bits of hash of the consistent form. A form of more than ``hot_rows`` rows is split into parts by a hash of
+    the key: each part is a join key of its own, which the odd rows of that form are given for all parts.
 
     Columns: key_a, key_b with key_a < key_b as strings.
     """
     scope = F.lit(0).cast("string") if within is None else within.cast("string")
     rows = df.select(scope.alias("_in"), F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"))
     rows = fold_column(rows.filter("_in IS NOT NULL AND _key IS NOT NULL AND _text IS NOT NULL"), "_text", "_form")
-    rows = rows.select(
-        "_in",
-        "_key",
-        F.xxhash64("_form").alias("_f1"),
-        F.xxhash64("_form", F.lit(7)).alias("_f2"),
-        F.xxhash64("_text").alias("_raw"),
-        (F.col("_form") != F.col("_text")).alias("_odd"),
+    rows = checkpoint(
+        rows.select(
+            "_in",
+            "_key",
+            F.xxhash64("_form").alias("_f1"),
+            F.xxhash64("_form", F.lit(7)).alias("_f2"),
+            F.xxhash64("_text").alias("_raw"),
+            (F.col("_form") != F.col("_text")).alias("_odd"),
+        )
     )
     on = ["_in", "_f1", "_f2"]
-    odd = rows.filter("_odd").select(*on, F.col("_key").alias("_a"), F.col("_raw").alias("_ra"))
-    pairs = odd.join(rows.select(*on, F.col("_key").alias("_b"), F.col("_raw").alias("_rb")), on)
+    # only forms with an odd row matter; their number of parts goes to both sides
+    sizes = rows.groupBy(*on).agg(F.count("*").alias("_n"), F.bool_or("_odd").alias("_any")).filter("_any")
+    parts = sizes.filter(F.col("_n") > hot_rows).select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
+    many = parts.count()
+    odd = rows.filter("_odd").select(*on, F.col("_key").alias("_a"), F.col("_raw").alias("_ra")).distinct()
+    other = rows.select(*on, F.col("_key").alias("_b"), F.col("_raw").alias("_rb"))
+    if many:
+        # at most one form to hot_rows rows; the narrow table is broadcast while it is short, else joined
+        parts = F.broadcast(parts) if many <= 100_000 else parts
+        odd = odd.join(parts, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+        other = other.join(parts, on, "left").withColumn("_part", F.pmod(F.xxhash64("_b"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+        pairs = odd.join(other, [*on, "_part"])
+    else:
+        pairs = odd.join(other, on)
     pairs = pairs.filter("_a <> _b AND _ra <> _rb")
     return pairs.select(F.least("_a", "_b").alias("key_a"), F.greatest("_a", "_b").alias("key_b")).distinct()
