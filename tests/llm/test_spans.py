@@ -88,3 +88,16 @@ def test_components_equal_a_search(spark, seed):
     df = spark.createDataFrame([*edges, (None, 5)], "a long, b long").withColumn("u", F.lit(1))
     assert {tuple(r) for r in components(df, "a", "b").collect()} == {(x, find(x)) for x in list(parent)}
     assert components(df.limit(0), "a", "b").count() == 0
+
+
+def test_one_passage_in_many_texts_is_made_in_parts(spark, monkeypatch):
+    """Half of the texts share a passage: parts give the same pairs as one group."""
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(450))
+    rows = [(i, "".join(rng.choice("klmnop ") for _ in range(420)) + (passage if i % 2 else "")) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for part in (10_000, 17):
+        monkeypatch.setattr(spans, "PART", part)
+        got.append({tuple(r) for r in spans.SharedSpans(df).pairs().collect()})
+    assert got[0] == got[1] == {(a, b) for a in range(1, 240, 2) for b in range(a + 2, 240, 2)}

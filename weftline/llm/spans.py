@@ -26,6 +26,8 @@ from weftline.session import checkpoint
 
 SPAN = 400
 SHINGLE = 300
+#: Texts with one sketch beyond which their pairs are made in parts of so many.
+PART = 2000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -149,10 +151,13 @@ class SharedSpans:
                     rows, values = sketches(*to_codes(part.column(1)), span, shingle)
                     yield pa.RecordBatch.from_arrays([pa.array(values), part.column(0).take(pa.array(rows))], ["sketch", "rep"])
 
-        marks = self.texts.mapInArrow(run, f"sketch long, rep {kind}")
-        left = marks.select("sketch", F.col("rep").alias("a"))
-        right = marks.select("sketch", F.col("rep").alias("b"))
-        return left.join(right, "sketch").filter("a < b").select("a", "b").distinct()
+        marks = checkpoint(self.texts.mapInArrow(run, f"sketch long, rep {kind}"))
+        # a passage in more texts than PART makes parts of its own, so that no task makes all of its pairs
+        sizes = marks.groupBy("sketch").agg(F.count("*").alias("_n")).filter("_n > 1")
+        shared = marks.join(sizes, "sketch").withColumn("_parts", F.ceil(F.col("_n") / PART).cast("int"))
+        left = shared.select("sketch", F.col("rep").alias("a"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+        right = shared.select("sketch", F.col("rep").alias("b"), F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int").alias("_part"))
+        return left.join(right, ["sketch", "_part"]).filter("a < b").select("a", "b").distinct()
 
     def spans(self) -> DataFrame:
         """Columns a, b, a_start, a_end, b_start, b_end: verified spans of pairs of representatives."""
