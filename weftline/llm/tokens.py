@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.charfold import fold_column
 from weftline.schema import domain, language
 
 #: Folder of the public vocabularies; never copied into the repository.
@@ -236,24 +237,24 @@ def with_counts(df: DataFrame, text: str, into: str = "n_tokens", make: Callable
 
 
 def segment_tokens(segments: DataFrame, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
-    """One row per distinct segment: id, source, lang, domain, n_tokens, n_chars of its source text.
+    """One row per distinct segment: id, source, lang, domain, n_tokens, n_chars of its source text in consistent form.
 
-    A segment delivered again counts once, with the first filled value of each column by time of loading; a null
-    ``id`` is no segment. Null or empty texts have no token, a null or empty domain is 'unspecified', an unknown
-    language spelling 'unknown'.
+    A segment delivered again counts once, with the first filled value of each column by time of loading, and is
+    tokenized once: deliveries are brought together before, pre-aggregated. A null ``id`` is no segment. Null or empty
+    texts have no token, a null or empty domain is 'unspecified', an unknown language spelling 'unknown'.
     """
-    rows = segments.select("id", "source", F.coalesce(language("src_lang"), F.lit("unknown")).alias("lang"), F.nullif(domain("domain"), F.lit("unspecified")).alias("domain"), "loaded_at", F.coalesce(F.length("src_text"), F.lit(0)).alias("n_chars"), "src_text")
-    counted = with_counts(rows.filter("id IS NOT NULL"), "src_text", "n_tokens", vocabulary=vocabulary, folder=folder)
-    order = F.struct(F.coalesce("loaded_at", F.lit("9999-12-31").cast("timestamp")), "n_tokens", "n_chars", F.coalesce("source", F.lit("")), F.coalesce("domain", F.lit("")), "lang")
-    filled = F.when(F.col("domain").isNotNull(), F.col("domain"))
-    out = counted.groupBy("id").agg(
+    lang, own = F.coalesce(language("src_lang"), F.lit("unknown")), F.nullif(domain("domain"), F.lit("unspecified"))
+    rows = segments.filter("id IS NOT NULL").select("id", "source", lang.alias("lang"), own.alias("domain"), F.coalesce("loaded_at", F.lit("9999-12-31").cast("timestamp")).alias("loaded_at"), "src_text")
+    order = F.struct("loaded_at", F.coalesce("src_text", F.lit("")), F.coalesce("source", F.lit("")), F.coalesce("domain", F.lit("")), "lang")
+    filled = F.col("domain").isNotNull()
+    once = rows.groupBy("id").agg(
         F.min_by("source", order).alias("source"),
         F.min_by("lang", order).alias("lang"),
-        F.coalesce(F.min_by(filled, F.when(F.col("domain").isNotNull(), order)), F.lit("unspecified")).alias("domain"),
-        F.min_by("n_tokens", order).alias("n_tokens"),
-        F.min_by("n_chars", order).alias("n_chars"),
+        F.coalesce(F.min_by("domain", F.when(filled, order)), F.lit("unspecified")).alias("domain"),
+        F.min_by("src_text", order).alias("src_text"),
     )
-    return out
+    folded = fold_column(once, "src_text", "_form").drop("src_text").withColumn("n_chars", F.coalesce(F.length("_form"), F.lit(0)))
+    return with_counts(folded, "_form", "n_tokens", vocabulary=vocabulary, folder=folder).select("id", "source", "lang", "domain", "n_tokens", "n_chars")
 
 
 def budget(per_segment: DataFrame) -> DataFrame:
