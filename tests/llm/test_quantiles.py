@@ -57,3 +57,29 @@ def test_table(spark):
 def test_metric_rows(spark):
     df = spark.sql("SELECT * FROM VALUES ('e', ' EMEA', TIMESTAMP '2024-01-01 01:00:00', map('bleu', 1.0D, 'ter', CAST(NULL AS DOUBLE))), ('e', ' EMEA', TIMESTAMP '2024-01-01 01:00:00', map('bleu', 1.0D)), ('f', CAST(NULL AS STRING), CAST(NULL AS TIMESTAMP), CAST(NULL AS MAP<STRING, DOUBLE>)) AS t(eval_id, domain, scored_at, metrics)")
     assert [tuple(r) for r in q.metric_rows(df).collect()] == [("emea", "2024-01-01", "bleu", 1.0)]
+
+
+def test_summaries_turn_into_sketches_and_merge_in_any_form():
+    rng = np.random.default_rng(8)
+    values = rng.gamma(2, 10, 6000)
+    parts = [values[:50], values[50:150], values[150:3000], values[3000:3001], values[3001:]]
+    whole = q.Summary()
+    for part in parts:
+        own = q.Summary()
+        own.add(part)
+        whole.merge(q.Summary.from_bytes(own.to_bytes()))
+    assert whole.n == 6000 and whole.ends() == [values.min(), values.max()]
+    ordered = np.sort(values)
+    for share in (0.001, 0.01, 0.25, 0.5, 0.9, 0.99, 0.999):
+        (got,) = whole.quantiles([share])
+        rank, wanted = np.searchsorted(ordered, got, side="right"), int(np.ceil(share * 6000))
+        assert abs(rank - wanted) <= 3.2 / q.K * min(wanted, 6001 - wanted) + 1
+    few = q.Summary()
+    few.add(np.array([3.0, np.nan, 1.0, 2.0]))
+    assert few.quantiles([0.0, 0.5, 1.0]) == [1.0, 2.0, 3.0] and len(few.to_bytes()) < 40 and q.Summary().quantiles([0.5]) == [None]
+
+
+def test_errors_are_found(spark):
+    rows = spark.range(1000).selectExpr("'g' AS g", "cast(id as double) AS x")
+    found = spark.createDataFrame([("g", 499.0, 700.0)], "g string, p50 double, p99 double")
+    assert {r["share"]: r["within"] for r in q.rank_errors(rows, found, ["g"], "x", [0.5, 0.99]).collect()} == {"p50": 1, "p99": 0}

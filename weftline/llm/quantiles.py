@@ -157,26 +157,105 @@ class RelativeSketch:
 HIGH, LOW = "high", "low"
 
 
-def build_sketches(df: DataFrame, groups: list[str], value: str, k: int = K, tails: tuple[str, ...] = (HIGH,)) -> DataFrame:
-    """One sketch per group, protected tail and task: the group columns (as strings), tail, n and sketch.
+class Summary:
+    """What is known of a group: its values while they are fewer than a compactor holds, then a sketch per tail."""
 
-    Null values are left out. Values meet their sketch in the task that reads them, so a group that holds a third of
+    def __init__(self, k: int = K, tails: tuple[str, ...] = (HIGH, LOW)):
+        self.k, self.tails, self.n = k, tails, 0
+        self.room = 2 * _SECTIONS * k
+        self.parts: list[np.ndarray] = []
+        self.sketches: list[RelativeSketch] = []
+
+    def add(self, values: np.ndarray) -> None:
+        values = np.asarray(values, np.float64)
+        values = values[~np.isnan(values)]
+        self.n += len(values)
+        if self.sketches:
+            for s in self.sketches:
+                s.update(values)
+            return
+        self.parts.append(values)
+        if self.n >= self.room:
+            held, self.parts = np.concatenate(self.parts), []
+            self.sketches = [RelativeSketch(self.k, tail == HIGH) for tail in self.tails]
+            for s in self.sketches:
+                s.update(held)
+
+    def merge(self, other: Summary) -> None:
+        if (self.k, self.tails) != (other.k, other.tails):
+            raise ValueError("summaries of different kinds do not merge")
+        if not other.sketches:
+            for part in other.parts:
+                self.add(part)
+            return
+        mine, self.parts = self.parts, []
+        self.n += other.n
+        if self.sketches:
+            for s, o in zip(self.sketches, other.sketches, strict=True):
+                s.merge(o)
+        else:
+            self.sketches = other.sketches
+            for s in self.sketches:
+                for part in mine:
+                    s.update(part)
+
+    def quantiles(self, shares: list[float]) -> list[float | None]:
+        """Nearest ranks; shares below one half come from the sketch that protects the low tail, if there is one."""
+        if not self.sketches:
+            held = np.sort(np.concatenate(self.parts)) if self.n else np.zeros(0)
+            return [float(held[min(max(math.ceil(q * self.n), 1), self.n) - 1]) if self.n else None for q in shares]
+        by = dict(zip(self.tails, ([s.quantiles(shares) for s in self.sketches]), strict=True))
+        pick = lambda q: HIGH if q >= 0.5 else LOW
+        return [by.get(pick(q), by[self.tails[0]])[i] for i, q in enumerate(shares)]
+
+    def ends(self) -> list[float | None]:
+        """The least and the greatest value, which are exact."""
+        if self.sketches:
+            return [self.sketches[0].least, self.sketches[0].most]
+        return [min(float(p.min()) for p in self.parts if len(p)), max(float(p.max()) for p in self.parts if len(p))] if self.n else [None, None]
+
+    def to_bytes(self) -> bytes:
+        names = "".join(t[0] for t in self.tails).encode()
+        head = struct.pack("<iB", self.k, len(names)) + names
+        if not self.sketches:
+            return head + b"\0" + (np.concatenate(self.parts) if self.parts else np.zeros(0)).astype("<f8").tobytes()
+        body = [s.to_bytes() for s in self.sketches]
+        return head + b"\1" + b"".join(struct.pack("<i", len(b)) + b for b in body)
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Summary:
+        k, size = struct.unpack_from("<iB", raw)
+        names = raw[5 : 5 + size].decode()
+        out = cls(k, tuple(HIGH if x == "h" else LOW for x in names))
+        kind, at = raw[5 + size], 6 + size
+        if not kind:
+            out.add(np.frombuffer(raw, "<f8", offset=at).copy())
+            return out
+        for _ in names:
+            (length,) = struct.unpack_from("<i", raw, at)
+            out.sketches.append(RelativeSketch.from_bytes(raw[at + 4 : at + 4 + length]))
+            at += 4 + length
+        out.n = out.sketches[0].n
+        return out
+
+
+def build_sketches(df: DataFrame, groups: list[str], value: str, k: int = K, tails: tuple[str, ...] = (HIGH, LOW)) -> DataFrame:
+    """One summary per group and task: the group columns (as strings), n and sketch.
+
+    Null values are left out. Values meet their summary in the task that reads them, so a group that holds a third of
     all rows is spread as the rows are. Rows of a task are sorted by group, so that it takes a group's values at once
     and holds one group at a time.
     """
     rows = df.select(*(F.col(g).cast("string").alias(g) for g in groups), F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    schema = ", ".join([*(f"`{g}` string" for g in groups), "tail string", "n long", "sketch binary"])
+    schema = ", ".join([*(f"`{g}` string" for g in groups), "n long", "sketch binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sketches, done = None, [], []
-
-        def close() -> None:
-            done.extend((held, tail, s.n, s.to_bytes()) for tail, s in zip(tails, sketches, strict=True))
+        held, summary, done = None, None, []
 
         def out() -> pa.RecordBatch:
             columns = [pa.array([d[0][i] for d in done], pa.string()) for i in range(len(groups))]
-            columns += [pa.array([d[i] for d in done], kind) for i, kind in ((1, pa.string()), (2, pa.int64()), (3, pa.binary()))]
-            return pa.RecordBatch.from_arrays(columns, [*groups, "tail", "n", "sketch"])
+            columns += [pa.array([d[1].n for d in done], pa.int64()), pa.array([d[1].to_bytes() for d in done], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, [*groups, "n", "sketch"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -188,30 +267,29 @@ def build_sketches(df: DataFrame, groups: list[str], value: str, k: int = K, tai
                 codes = batch.column(i).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
                 change[1:] |= codes[1:] != codes[:-1]
             starts = np.flatnonzero(change)
-            for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
-                key = tuple(batch.column(i)[int(start)].as_py() for i in range(len(groups)))
-                if key != held:
-                    if sketches:
-                        close()
-                    held, sketches = key, [RelativeSketch(k, tail == HIGH) for tail in tails]
-                for s in sketches:
-                    s.update(values[start:end])
+            keys = list(zip(*(batch.column(i).take(pa.array(starts)).to_pylist() for i in range(len(groups))), strict=True)) if groups else [()]
+            for key, start, end in zip(keys, starts, [*starts[1:], batch.num_rows], strict=True):
+                if summary is None or key != held:
+                    if summary is not None:
+                        done.append((held, summary))
+                    held, summary = key, Summary(k, tails)
+                summary.add(values[start:end])
             if len(done) > 4000:
                 yield out()
                 done = []
-        if sketches:
-            close()
+        if summary is not None:
+            done.append((held, summary))
         yield out()
 
-    return rows.sortWithinPartitions(*groups).mapInArrow(run, schema)
+    return rows.sortWithinPartitions(*groups).mapInArrow(run, schema) if groups else rows.mapInArrow(run, schema)
 
 
 def _merged(rows: DataFrame, keys: list[str], groups: list[str]) -> DataFrame:
-    """Sketches of equal keys merged one after the other as they stream by in sorted partitions."""
+    """Summaries of equal keys merged one after the other as they stream by in sorted partitions."""
     schema = ", ".join([*(f"`{g}` string" for g in groups), "n long", "sketch binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sketch, done = None, None, []
+        held, summary, done = None, None, []
 
         def out() -> pa.RecordBatch:
             columns = [pa.array([d[0][i] for d in done], pa.string()) for i in range(len(groups))]
@@ -221,18 +299,18 @@ def _merged(rows: DataFrame, keys: list[str], groups: list[str]) -> DataFrame:
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(len(keys) + 1)]
             for *key, raw in zip(*columns, strict=True):
-                part = RelativeSketch.from_bytes(raw)
-                if key == held:
-                    sketch.merge(part)
+                part = Summary.from_bytes(raw)
+                if summary is not None and key == held:
+                    summary.merge(part)
                     continue
-                if sketch is not None:
-                    done.append((held, sketch))
-                held, sketch = key, part
+                if summary is not None:
+                    done.append((held, summary))
+                held, summary = key, part
             if len(done) > 2000:
                 yield out()
                 done = []
-        if sketch is not None:
-            done.append((held, sketch))
+        if summary is not None:
+            done.append((held, summary))
         yield out()
 
     ordered = rows.select(*keys, "sketch", "n").repartition(*keys).sortWithinPartitions(*keys, "n", "sketch")
@@ -240,44 +318,54 @@ def _merged(rows: DataFrame, keys: list[str], groups: list[str]) -> DataFrame:
 
 
 def merge_sketches(sketches: DataFrame, groups: list[str], fan_in: int = 16) -> DataFrame:
-    """One sketch per group and tail, merged in two rounds so that no task takes all sketches of a large group.
+    """One summary per group, merged in two rounds so that no task takes all summaries of a large group.
 
-    A task holds one sketch at a time; sketches of a group come in an order of their own, so that a merge repeats.
+    A task holds one summary at a time; those of a group come in an order of their own, so that a merge repeats. Where
+    there are many groups of which each has few summaries, ``fan_in`` 1 saves the first round.
     """
-    keys = [*groups, "tail"]
+    if fan_in == 1:
+        return _merged(sketches, groups, groups)
     salted = sketches.withColumn("_salt", F.pmod(F.xxhash64("sketch"), F.lit(fan_in)).cast("string"))
-    return _merged(_merged(salted, [*keys, "_salt"], keys), keys, keys)
+    return _merged(_merged(salted, [*groups, "_salt"], groups), groups, groups)
 
 
-def read_quantiles(sketches: DataFrame, groups: list[str], shares: list[float]) -> DataFrame:
-    """Group columns, n, least, most and one column per share (p50, p99_9, ...).
+def share_name(share: float) -> str:
+    """p50, p99_9, ... for a share."""
+    return "p" + f"{100 * share:g}".replace(".", "_")
 
-    Where sketches of both tails are there, shares below one half come from those that protect the low tail.
-    """
-    names = ["p" + f"{100 * q:g}".replace(".", "_") for q in shares]
-    measures = ["n", "least", "most", *names]
-    schema = ", ".join([*(f"`{g}` string" for g in groups), "tail string", "n long", *(f"`{n}` double" for n in measures[1:])])
+
+def read_quantiles(sketches: DataFrame, groups: list[str], shares: list[float]) -> DataFrame:
+    """Group columns, n, least, most and one column per share (p50, p99_9, ...), of one summary per group."""
+    measures = ["n", "least", "most", *map(share_name, shares)]
+    schema = ", ".join([*(f"`{g}` string" for g in groups), "n long", *(f"`{n}` double" for n in measures[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [RelativeSketch.from_bytes(raw) for raw in batch.column(len(groups) + 1).to_pylist()]
-            values = [[p.n, p.least, p.most, *p.quantiles(shares)] for p in parts]
-            columns = [batch.column(i) for i in range(len(groups) + 1)]
+            parts = [Summary.from_bytes(raw) for raw in batch.column(len(groups)).to_pylist()]
+            values = [[p.n, *p.ends(), *p.quantiles(shares)] for p in parts]
+            columns = [batch.column(i) for i in range(len(groups))]
             columns += [pa.array([v[i] for v in values], pa.float64() if i else pa.int64()) for i in range(len(measures))]
-            yield pa.RecordBatch.from_arrays(columns, [*groups, "tail", *measures])
-
-    read = sketches.select(*groups, "tail", "sketch").mapInArrow(run, schema)
-
-    def best(name: str, share: float) -> Column:
-        tail = HIGH if share >= 0.5 else LOW
-        return F.coalesce(F.max(F.when(F.col("tail") == tail, F.col(f"`{name}`"))), F.max(f"`{name}`")).alias(name)
+            yield pa.RecordBatch.from_arrays(columns, [*groups, *measures])
 
-    return read.groupBy(*groups).agg(*(best(m, 1.0) for m in measures[:3]), *(best(n, q) for n, q in zip(names, shares, strict=True)))
+    return sketches.select(*groups, "sketch").mapInArrow(run, schema)
 
 
-def percentiles(rows: DataFrame, groups: list[str], value: str, shares: list[float], k: int = K) -> DataFrame:
+def percentiles(rows: DataFrame, groups: list[str], value: str, shares: list[float], k: int = K, fan_in: int = 16) -> DataFrame:
     """Percentiles per group, those below one half from sketches that protect the low tail, the others the high one."""
-    return read_quantiles(merge_sketches(build_sketches(rows, groups, value, k, (HIGH, LOW)), groups), groups, shares)
+    return read_quantiles(merge_sketches(build_sketches(rows, groups, value, k), groups, fan_in), groups, shares)
+
+
+def rank_errors(rows: DataFrame, found: DataFrame, groups: list[str], value: str, shares: list[float], bound: float = 3.2 / K) -> DataFrame:
+    """The groups, share, n, and within: whether the rank of a reported percentile is off by at most ``bound`` of the
+    distance to the nearer end, and one. ``found``: one row per group, as ``percentiles`` gives it; a small table."""
+    each = found.select(*groups, F.inline(F.array(*(F.struct(F.lit(share_name(q)).alias("share"), F.lit(q).alias("_q"), F.col(share_name(q)).alias("_at")) for q in shares))))
+    listed = each.groupBy(*groups).agg(F.collect_list(F.struct("share", "_q", "_at")).alias("_l"))  # one entry per share
+    joined = rows.select(*(F.col(g).cast("string").alias(g) for g in groups), F.col(value).alias("_v")).join(listed, groups).select(*groups, "_v", F.inline("_l"))
+    counted = joined.groupBy(*groups, "share", "_q").agg(F.count("*").alias("n"), F.count_if(F.col("_v") < F.col("_at")).alias("_less"), F.count_if(F.col("_v") <= F.col("_at")).alias("_most"))
+    wanted = F.ceil(F.col("_q") * F.col("n"))
+    off = F.greatest(F.lit(0), F.col("_less") + 1 - wanted, wanted - F.col("_most"))
+    near = F.when(F.col("_q") >= 0.5, F.col("n") - wanted + 1).otherwise(wanted)
+    return counted.select(*groups, "share", "n", (off <= bound * near + 1).cast("int").alias("within"))
 
 
 def metric_rows(evaluations: DataFrame) -> DataFrame:

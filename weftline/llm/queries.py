@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.charforms import fold
 from weftline.llm import alignment, charfold, leak, packing, quantiles, sampling, spans, tokens, truncation
 from weftline.session import checkpoint, table
 
@@ -74,7 +75,7 @@ _SHARES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]
 
 
 def _metric_rows(spark: SparkSession, d: str) -> DataFrame:
-    return checkpoint(quantiles.metric_rows(table(spark, d, "evaluations").select("eval_id", "domain", "scored_at", "metrics")))
+    return quantiles.metric_rows(table(spark, d, "evaluations").select("eval_id", "domain", "scored_at", "metrics"))
 
 
 def p7_metric_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -83,17 +84,21 @@ def p7_metric_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_daily_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of each metric per domain and day of scoring, from sketches that later days can be merged with."""
-    rows = _metric_rows(spark, d)
-    days = rows.repartition("day", "metric", F.pmod(F.xxhash64("domain", "value"), F.lit(4)))  # salted, as a day may be hot
-    return quantiles.percentiles(days, ["domain", "metric", "day"], "value", _SHARES)
+    """Percentiles of each metric per domain and day of scoring, from summaries that later days can be merged with."""
+    return quantiles.percentiles(_metric_rows(spark, d), ["domain", "metric", "day"], "value", _SHARES, fan_in=1)
 
 
 def p7_merged_days(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles from one half up of each metric per domain, merged from the sketches of single days."""
-    days = quantiles.build_sketches(_metric_rows(spark, d).repartition("day", "metric"), ["domain", "metric", "day"], "value")
-    daily = quantiles.merge_sketches(days, ["domain", "metric", "day"])
-    return quantiles.read_quantiles(quantiles.merge_sketches(daily, ["domain", "metric"]), ["domain", "metric"], [q for q in _SHARES if q >= 0.5])
+    """Percentiles of each metric per domain, merged from the summaries of single days."""
+    keys = ["domain", "metric"]
+    daily = quantiles.merge_sketches(quantiles.build_sketches(_metric_rows(spark, d), [*keys, "day"], "value"), [*keys, "day"], 1)
+    return quantiles.read_quantiles(quantiles.merge_sketches(daily, keys), keys, _SHARES)
+
+
+def p7_rank_errors(spark: SparkSession, d: str) -> DataFrame:
+    """For each percentile of each metric per domain: whether its true rank lies within the bound of the sketch."""
+    rows = checkpoint(_metric_rows(spark, d))
+    return quantiles.rank_errors(rows, quantiles.percentiles(rows, ["domain", "metric"], "value", _SHARES), ["domain", "metric"], "value", _SHARES)
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +108,7 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_packed_documents(spark: SparkSession, d: str) -> DataFrame:
     """The container of each document, or of each chunk of one that alone exceeds the capacity."""
-    return _packed(spark, d).withColumnRenamed("key", "doc_id")
+    return packing.with_offsets(_packed(spark, d)).withColumnRenamed("key", "doc_id")
 
 
 def p8_fill_report(spark: SparkSession, d: str) -> DataFrame:
@@ -156,6 +161,7 @@ def queries() -> dict:
             p7_daily_percentiles,
             p7_metric_percentiles,
             p7_merged_days,
+            p7_rank_errors,
             p8_packed_documents,
             p8_fill_report,
             p9_found,
@@ -179,6 +185,58 @@ SELECT batch_no, count(*)::BIGINT AS ids, sum(CASE WHEN place < {sampling.RATE}
 GROUP BY batch_no"""
 
 
+_SHARE_ROWS = ", ".join(f"('{quantiles.share_name(q)}')" for q in _SHARES)
+_RANKS = f"""
+WITH e AS (SELECT DISTINCT ON (eval_id) eval_id, coalesce(nullif(lower(trim(domain)), ''), 'unspecified') AS domain, metrics FROM evaluations WHERE eval_id IS NOT NULL AND metrics IS NOT NULL),
+v AS (SELECT domain, unnest(map_entries(metrics)) AS m FROM e), c AS (SELECT domain, m.key AS metric, count(*)::BIGINT AS n FROM v WHERE m.value IS NOT NULL GROUP BY ALL)
+SELECT domain, metric, share, n, 1::INT AS within FROM c, (VALUES {_SHARE_ROWS}) s(share)"""
+
+#: Windows of the whole span at every place; for small tables, as their number is that of all characters.
+_SPANS = f"""
+WITH d AS (SELECT doc_id, any_value(text) AS text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= {spans.SPAN} GROUP BY doc_id),
+w AS (SELECT DISTINCT doc_id, md5(substr(text, i, {spans.SPAN})) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - {spans.SPAN} + 2)) AS i FROM d))
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id"""
+
+
+def _levelled(x: str) -> str:
+    """The consistent form in SQL, up to letters that are one or several characters in it and stay so."""
+    level = {c: fold(chr(c)) for part in (range(14, 0x3400), range(0xF900, 0x10000)) for c in part}
+    level = {9: " ", 11: "\n", 12: "\n"} | {c: to for c, to in level.items() if to != chr(c)}
+    single = {c: to for c, to in level.items() if len(to) == 1}
+    gone = [c for c, to in level.items() if not to]
+    chars = lambda codes: "'" + "".join(map(chr, codes)).replace("'", "''") + "'"
+    out = f"replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    for c, to in level.items():
+        if len(to) > 1 and (0x80 <= c < 0x3400 or 0xFB00 <= c < 0xFB07):
+            out = f"replace({out}, '{chr(c)}', '{to}')"
+    targets = "".join(single.values()).replace("'", "''")
+    return f"nfc_normalize(translate({out}, {chars(single)[:-1]}{chars(gone)[1:]}, '{targets}'))"
+
+
+def _leaks() -> str:
+    words = lambda t: f"regexp_extract_all(lower({_levelled(t)}), '[\\p{{L}}\\p{{N}}]+')"
+    grams = lambda t: f"unnest(list_transform(range(1, len(ws) - {leak.LEAST_WORDS} + 2), lambda i: array_to_string(ws[i:i + {leak.LEAST_WORDS - 1}], ' '))) AS g FROM {t}"
+    return f"""
+WITH a AS (SELECT doc_id, {words('text')} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), b AS (SELECT item_id, {words('text')} AS ws FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+x AS (SELECT DISTINCT doc_id, {grams('a')}), y AS (SELECT DISTINCT item_id, {grams('b')}) SELECT DISTINCT doc_id, item_id FROM x JOIN y ON x.g = y.g"""
+
+
+def _looks() -> str:
+    form = _levelled("t")
+    return f"""
+WITH s AS (SELECT DISTINCT id AS k, src_text AS t FROM segments WHERE id IS NOT NULL AND src_text IS NOT NULL), e AS (SELECT DISTINCT id AS g, eval_id AS k, hyp_text AS t FROM evaluations WHERE id IS NOT NULL AND eval_id IS NOT NULL AND hyp_text IS NOT NULL),
+sf AS (SELECT k, t, {form} AS f FROM s), ef AS (SELECT g, k, t, {form} AS f FROM e)
+SELECT DISTINCT 'src_text' AS field, a.k AS key_a, b.k AS key_b FROM sf a JOIN sf b ON a.f = b.f AND a.t <> b.t AND a.k < b.k
+UNION ALL SELECT DISTINCT 'hyp_text', a.k, b.k FROM ef a JOIN ef b ON a.g = b.g AND a.f = b.f AND a.t <> b.t AND a.k < b.k"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL twins, where SQL can express the operator over whole tables."""
-    return {"p5_stable_sample": _SAMPLE, "p5_sample_by_batch": _SAMPLE_BY_BATCH}
+    return {
+        "p2_found": _looks(),
+        "p5_stable_sample": _SAMPLE,
+        "p5_sample_by_batch": _SAMPLE_BY_BATCH,
+        "p7_rank_errors": _RANKS,
+        "p9_found": _leaks(),
+        "p10_found": _SPANS,
+    }
